@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalith.llm import spans
+from stratalith.llm import neighbours, spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.links(neighbours.nearest(_table(spark, sf_dir, "child_spans")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(_table(spark, sf_dir, "documents")).select("doc_id", "first_word", "last_word").distinct()
 
@@ -19,5 +23,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}
