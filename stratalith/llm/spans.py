@@ -3,19 +3,23 @@
 1. Every window of ``span`` words holds at least one *anchor*: the phrase of ``PHRASE`` words with the least hash in
    it. Equal windows choose equal anchors, so only anchors are shuffled (about 2 / (span - PHRASE + 2) of the words).
 2. Anchors met under two or more ``doc_id``s recur. A recurring anchor belongs to the shard of the least ``doc_id`` that
-   has it; so the phrases of one family of copies sit in one shard and a document goes only to shards that can match.
-3. Each shard compiles the recurring phrases of its documents into an Aho-Corasick automaton over word numbers, streams
-   the documents through it and finds every occurrence, word for word.
-4. Only windows that hold an occurrence can be shared. They are confirmed within the shard, where all documents with
-   that phrase are. A shard over ``SHARD_WORDS`` words is salted; then the windows that its parts couldn't confirm alone
+   has it; so the phrases of one family of copies sit in one shard. Each document sends a shard only the passages that
+   surround its own anchors there: no other part of it can be shared through that shard.
+3. Each shard compiles the recurring phrases of its passages into an Aho-Corasick automaton over word numbers, streams
+   the passages through it and finds every occurrence, word for word.
+4. Only windows that hold an occurrence can be shared. They are confirmed within the shard, where all passages with
+   that phrase are. A shard over ``SALT_WORDS`` words is salted; then the windows that its parts couldn't confirm alone
    are compared in one more shuffle, so no group is collected beyond that size.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +28,11 @@ from stratalith.llm.hashing import MIX, TOP, WordValues, rolling, sliding
 
 PHRASE = 12
 SHARD_WORDS = 1_000_000
+SALT_WORDS = 3_000_000
 BATCH_WORDS = 200_000
 
-ANCHOR = "hash bigint, rid bigint, doc_id bigint, pos int, n_words int"
+ANCHOR = "hash bigint, rid bigint, doc_id bigint, pos int"
+PASSAGE = "shard int, salt int, salted boolean, rid bigint, doc_id bigint, starts array<int>, positions array<int>, passages binary"
 FOUND = "kind int, doc_id bigint, rid bigint, first int, last int, shard int, h1 bigint, h2 bigint"
 
 
@@ -55,13 +61,13 @@ def _anchors(span: int):
             sizes = np.array([len(w) for w in words])
             starts = np.concatenate([[0], np.cumsum(sizes)])
             get = values_of.__getitem__
-            values = np.fromiter((get(w) for ws in words for w in ws), dtype=np.uint64, count=starts[-1])
+            values = np.fromiter(map(get, chain.from_iterable(words)), dtype=np.uint64, count=starts[-1])
             pos, h = anchor_positions(values, starts, span)
             row = np.searchsorted(starts, pos, side="right") - 1
             ids = np.array(ids, dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ids[row, 0]), pa.array(ids[row, 1]), pa.array((pos - starts[row]).astype(np.int32)), pa.array(sizes[row].astype(np.int32))],
-                names=["hash", "rid", "doc_id", "pos", "n_words"],
+                [pa.array(h.view(np.int64)), pa.array(ids[row, 0]), pa.array(ids[row, 1]), pa.array((pos - starts[row]).astype(np.int32))],
+                names=["hash", "rid", "doc_id", "pos"],
             )
 
         for batch in batches:
@@ -95,23 +101,63 @@ def marked(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def locate(texts: list[str], positions: list[np.ndarray], span: int, phrase: int = PHRASE):
-    """Candidate windows of a shard: their start (in the concatenated words), two hashes and row; and the rows' starts."""
+def _passages(span: int, phrase: int = PHRASE):
+    """Of each document, for each of its shards, the words around its anchors there."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        schema = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("salted", pa.bool_()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("starts", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32())), ("passages", pa.binary())])
+        for batch in batches:
+            out, size, seen = [], 0, set()
+            rid, doc, text, routes = (batch.column(i) for i in range(4))
+            for i in range(len(batch)):
+                r = rid[i].as_py()
+                if r in seen:  # a repeated row
+                    continue
+                seen.add(r)
+                words = text[i].as_py().split()
+                for route in routes[i].as_py():
+                    at = np.array(route["positions"], np.int64)
+                    near = marked(np.maximum(at - span + phrase, 0), np.minimum(at + span, len(words)), len(words))
+                    lo, hi = stretches(near)
+                    blob = pack("\n".join(" ".join(words[a : b + 1]) for a, b in zip(lo, hi)).encode())
+                    salts = route["salts"]
+                    out.append((route["shard"], r % salts if salts > 1 else 0, salts > 1, r, doc[i].as_py(), lo.tolist(), route["positions"], blob))
+                    size += len(blob)
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def locate(passages: list[list[str]], begins: list[int], positions: list[list[int]], owner: list[int], span: int, phrase: int = PHRASE):
+    """Candidate windows of a shard: their place in the concatenated words, two hashes, and passage; and the passages' starts.
+
+    ``begins`` is the first word of each passage, ``owner`` its document, ``positions`` the anchors of each document.
+    """
     number: dict[str, int] = {}
     rows = []
-    for text in texts:
-        rows.append(tuple(number.setdefault(w, len(number)) for w in text.split()))
+    for words in passages:
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+        rows.append(tuple(map(number.__getitem__, words)))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for row, at in zip(rows, positions):
-        for p in at:
-            automaton.add_word(row[p : p + phrase], 1)
+    for row, first, doc in zip(rows, begins, owner):
+        last = first + len(row) - phrase
+        for p in positions[doc]:
+            if first <= p <= last:
+                automaton.add_word(row[p - first : p - first + phrase], 1)
     automaton.make_automaton()
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     n = int(starts[-1])
     begin, end = [], []
     for k, row in enumerate(rows):
         if len(row) >= span:
-            hit = np.fromiter((e for e, _ in automaton.iter(row)), dtype=np.int64) - phrase + 1
+            hit = np.array([e for e, _ in automaton.iter(row)], dtype=np.int64) - phrase + 1
             lo = np.maximum(hit - (span - phrase), 0)
             hi = np.minimum(hit, len(row) - span)
             ok = lo <= hi
@@ -121,10 +167,9 @@ def locate(texts: list[str], positions: list[np.ndarray], span: int, phrase: int
     if not begin:
         return np.zeros(0, np.int64), np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), starts
     at = np.flatnonzero(marked(np.concatenate(begin), np.concatenate(end), n))
-    value = np.fromiter((xx for r in rows for xx in r), dtype=np.uint64, count=n)
-    names = np.fromiter((v for v in map(WordValues().__missing__, number)), dtype=np.uint64, count=len(number))
-    value = names[value.astype(np.int64)] if n else value
-    h = np.stack([rolling(value, span, m)[at] for m in MIX])
+    values = np.fromiter(map(WordValues().__missing__, number), dtype=np.uint64, count=len(number))
+    values = values[np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=n)]
+    h = np.stack([rolling(values, span, m)[at] for m in MIX])
     return at, h, np.searchsorted(starts, at, side="right") - 1, starts
 
 
@@ -146,31 +191,38 @@ def confirmed(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _shard(span: int):
     def run(key, table):
-        salted, shard = table.column("salts")[0].as_py() > 1, key[0].as_py()
-        doc = table.column("doc_id").to_numpy()
-        rid = table.column("rid").to_numpy()
-        at, h, row, starts = locate(table.column("text").to_pylist(), table.column("positions").to_pylist(), span)
+        salted, shard = table.column("salted")[0].as_py(), key[0].as_py()
+        unpack = zstandard.ZstdDecompressor().decompress
+        owner, passages = [], []
+        for i, blob in enumerate(table.column("passages").to_pylist()):
+            lines = unpack(blob).decode().split("\n")
+            owner += [i] * len(lines)
+            passages += [line.split(" ") for line in lines]
+        begins = table.column("starts").combine_chunks().flatten().to_numpy().astype(np.int64)
+        at, h, row, starts = locate(passages, begins.tolist(), table.column("positions").to_pylist(), owner, span)
+        owner = np.array(owner, np.int64)
+        doc, rid = table.column("doc_id").to_numpy()[owner], table.column("rid").to_numpy()[owner]
         shared, first = confirmed(h, doc[row])
         parts = []
 
-        def add(kind, rows, begin, end, h1=None, h2=None):
+        def add(kind, rows, begin, h=None):
             n = len(rows)
-            zero = np.zeros(n, np.int64)
-            parts.append([np.full(n, kind, np.int32), doc[rows], rid[rows], begin.astype(np.int32), end.astype(np.int32), np.full(n, shard, np.int32), zero if h1 is None else h1.view(np.int64), zero if h2 is None else h2.view(np.int64)])
+            h = np.zeros((2, n), np.int64) if h is None else h.view(np.int64)
+            end = begin + span - 1 if kind else stop
+            parts.append([np.full(n, kind, np.int32), doc[rows], rid[rows], (begins[rows] + begin).astype(np.int32), (begins[rows] + end).astype(np.int32), np.full(n, shard, np.int32), h[0], h[1]])
 
         if shared.any():
             covered = marked(at[shared], at[shared] + span, int(starts[-1]))
-            # a stretch never runs on into the next text
-            covered = np.insert(covered, starts[1:-1], False)
-            lo, hi = stretches(covered)
-            begins = starts + np.arange(len(starts))
-            rows = np.searchsorted(begins, lo, side="right") - 1
-            add(0, rows, lo - begins[rows], hi - begins[rows])
+            covered = np.insert(covered, starts[1:-1], False)  # a stretch never runs on into the next passage
+            lo, stop = stretches(covered)
+            apart = starts + np.arange(len(starts))
+            rows = np.searchsorted(apart, lo, side="right") - 1
+            stop = stop - apart[rows]
+            add(0, rows, lo - apart[rows])
         if salted:
             alone, told = np.flatnonzero(~shared), np.flatnonzero(shared & first)
-            begin = at - starts[row]
-            add(1, row[alone], begin[alone], begin[alone] + span - 1, h[0][alone], h[1][alone])
-            add(2, row[told], begin[told], begin[told] + span - 1, h[0][told], h[1][told])
+            add(1, row[alone], at[alone] - starts[row[alone]], h[:, alone])
+            add(2, row[told], at[told] - starts[row[told]], h[:, told])
         names = [c.split()[0] for c in FOUND.split(", ")]
         columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int32 if i in (0, 3, 4, 5) else np.int64) for i in range(len(names))]
         return pa.table(dict(zip(names, columns)))
@@ -178,7 +230,7 @@ def _shard(span: int):
     return run
 
 
-def shared_spans(docs: DataFrame, span: int = 40, shard_words: int = SHARD_WORDS) -> DataFrame:
+def shared_spans(docs: DataFrame, span: int = 40, shard_words: int = SHARD_WORDS, salt_words: int = SALT_WORDS) -> DataFrame:
     """``doc_id, rid, first_word, last_word``: the longest stretches of words that lie in runs of ``span`` words equal to
     a run of another ``doc_id``. Words are the longest runs without white space, numbered from 0.
 
@@ -192,24 +244,16 @@ def shared_spans(docs: DataFrame, span: int = 40, shard_words: int = SHARD_WORDS
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     docs = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * span - 1))
     anchors = storage.materialize(docs.mapInArrow(_anchors(span), ANCHOR), "anchors")
-    n_anchors = anchors.count()
-    shards = max(1, round(n_anchors * (span - PHRASE + 2) / 2 / shard_words))
+    words_per_anchor = (span - PHRASE + 2) / 2
+    shards = max(1, round(anchors.count() * words_per_anchor / shard_words))
     recurring = anchors.groupBy("hash").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("other"))
     recurring = recurring.filter("home < other").select("hash", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int").alias("shard"))
-    routes = (
-        anchors.join(recurring, "hash")
-        .groupBy("rid", "doc_id", "shard")
-        .agg(F.collect_set("pos").alias("positions"), F.count("*").alias("n"), F.max("n_words").alias("n_words"))
-        .withColumn("weight", F.col("n_words") * F.col("n") / F.size("positions"))
-        .drop("n", "n_words")
-    )
+    routes = anchors.select("hash", "rid", "pos").join(recurring, "hash").groupBy("rid", "shard").agg(F.collect_set("pos").alias("positions"))
     routes = storage.materialize(routes, "routes")
-    loads = routes.groupBy("shard").agg(F.ceil(F.sum("weight") / shard_words).cast("int").alias("salts"))
-    placed = (
-        docs.drop("doc_id")
-        .join(routes.drop("weight").join(loads, "shard").hint("shuffle_hash"), "rid")
-        .withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts"))).otherwise(0).cast("int"))
-    )
+    load = F.sum(F.size("positions")) * words_per_anchor
+    loads = routes.groupBy("shard").agg(F.ceil(load / salt_words).cast("int").alias("salts"))
+    by_text = routes.join(loads, "shard").groupBy("rid").agg(F.collect_list(F.struct("shard", "salts", "positions")).alias("routes"))
+    placed = docs.join(by_text.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "routes").mapInArrow(_passages(span), PASSAGE)
     found = placed.groupBy("shard", "salt").applyInArrow(_shard(span), FOUND)
     found = storage.materialize(found, "found")
     windows = found.filter("kind > 0")
