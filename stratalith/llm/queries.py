@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalith.llm import neighbours, spans
+from stratalith.llm import mixing, neighbours, packing, spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.links(neighbours.nearest(_table(spark, sf_dir, "child_spans")))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str, kind: str = "medium") -> DataFrame:
+    capacity = packing.capacity_of(_table(spark, sf_dir, "container_kinds"), kind)
+    return packing.pack(_table(spark, sf_dir, "documents"), capacity)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str, kind: str = "medium") -> DataFrame:
+    capacity = packing.capacity_of(_table(spark, sf_dir, "container_kinds"), kind)
+    return packing.fill(packing.pack(_table(spark, sf_dir, "documents"), capacity), capacity)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(_table(spark, sf_dir, "documents")).select("doc_id", "first_word", "last_word").distinct()
 
@@ -23,5 +41,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}
