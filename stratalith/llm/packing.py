@@ -9,7 +9,7 @@ size; ranks are counted in salted groups, so that a size shared by a third of al
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -90,37 +90,44 @@ def fit(sizes: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int
                 a[c - 1, j] += 1
         weight = np.arange(1, classes + 1)[:, None] / classes  # a long item left over costs more than a short one
         x = nnls(a * weight, have * weight[:, 0])
-        for j in np.argsort(-x, kind="stable"):
-            need = a[:, j]
-            times = int(min(round(x[j]), *(have[need > 0] // need[need > 0])))
-            if times > 0:
-                have -= times * need
-                groups += exact(names[j], times, stock, left)
+        room = sorted(left)
+        for j in sorted(np.flatnonzero(x > 0.5), key=lambda j: (-names[j][0], j)):
+            groups += exact(names[j], round(x[j]), stock, left, room, capacity)
     return best_fit(groups, left, capacity)
 
 
-def exact(pattern: tuple[int, ...], times: int, stock: dict[int, list[int]], left: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
-    """``times`` containers of a pattern with exact sizes, the largest of each class first."""
-    slots = []
-    for c in pattern:
-        runs, need = [], times
-        while need:
-            s = stock[c][-1]
-            n = min(need, left[s])
-            runs.append([s, n])
-            left[s] -= n
-            need -= n
-            if not left[s]:
-                stock[c].pop()
-        slots.append(runs)
+def exact(pattern: tuple[int, ...], times: int, stock: dict[int, list[int]], left: dict[int, int], sizes: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Up to ``times`` containers of a pattern with exact sizes: the largest of each class, and last what fits best."""
     out = []
-    while slots[0]:
-        n = min(runs[0][1] for runs in slots)
-        out.append((tuple(runs[0][0] for runs in slots), n))
-        for runs in slots:
-            runs[0][1] -= n
-            if not runs[0][1]:
-                runs.pop(0)
+    while times > 0:
+        items, n = [], times
+        for c in pattern[:-1]:
+            while stock[c] and not left[stock[c][-1]]:
+                stock[c].pop()
+            if not stock[c]:
+                n = 0
+                break
+            s = stock[c][-1]
+            left[s] -= n if left[s] >= n else (n := left[s])
+            items.append((s, n))
+        if n and len({k for _, k in items}) > 1:  # a later size had fewer: give the surplus of the earlier ones back
+            for s, k in items:
+                left[s] += k - n
+        room = capacity - sum(s for s, _ in items)
+        i = bisect_right(sizes, room) - 1 if n else -1
+        while i >= 0 and not left[sizes[i]]:
+            sizes.pop(i)
+            i -= 1
+        if i < 0:
+            for s, k in items:
+                left[s] += n if n else k
+            break
+        k = min(n, left[sizes[i]])
+        left[sizes[i]] -= k
+        for s, _ in items:
+            left[s] += n - k
+        out.append((tuple(s for s, _ in items) + (sizes[i],), k))
+        times -= k
     return out
 
 
