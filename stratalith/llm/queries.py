@@ -4,13 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalith.llm import mixing, neighbours, packing, spans
+from stratalith.llm import mixing, neardup, neighbours, packing, spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Problem 3 is stated for runs of three words and a similarity of at least 0.6.
+P3 = {"threshold": 0.6, "n": 3}
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "parent_chunks")
+    return rows.selectExpr("parent_no AS member", "document_id AS owner", "core_text AS text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.similar_pairs(*neardup.similar_classes(_parents(spark, sf_dir), **P3))
+    return pairs.selectExpr("a AS parent_a", "b AS parent_b")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(*neardup.similar_classes(_parents(spark, sf_dir), **P3))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.links(neighbours.nearest(_table(spark, sf_dir, "child_spans")))
 
@@ -41,5 +59,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}
