@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalith.llm import mixing, neardup, neighbours, packing, spans
+from stratalith.llm import conversations, mixing, neardup, neighbours, packing, spans, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(_table(spark, sf_dir, "session_events")).select("session_id", "msg_no", "seq")
+
+
 #: Problem 3 is stated for runs of three words and a similarity of at least 0.6.
 P3 = {"threshold": 0.6, "n": 3}
 
@@ -33,6 +37,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.links(neighbours.nearest(_table(spark, sf_dir, "child_spans")))
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "parent_chunks").selectExpr("parent_no AS id", "document_title AS title", "core_text AS text")
+    return splitting.pieces(rows).withColumnRenamed("id", "parent_no")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).select("parent_no").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).distinct()
+
+
 def p6_pack(spark: SparkSession, sf_dir: str, kind: str = "medium") -> DataFrame:
     capacity = packing.capacity_of(_table(spark, sf_dir, "container_kinds"), kind)
     return packing.pack(_table(spark, sf_dir, "documents"), capacity)
@@ -59,5 +76,11 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
+SQL: dict[str, str] = {
+    "p5_found": """
+SELECT DISTINCT parent_no FROM parent_chunks
+WHERE length(regexp_replace(core_text, '[\\x00-\\x7F]', '', 'g'))
+  + list_sum(list_transform(regexp_extract_all(core_text, '[\\x00-\\x7F]+'), lambda r: (length(r) + 3) // 4)) > 512
+"""
+}
