@@ -77,7 +77,50 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
+P2_SQL = """
+WITH distinct_rows AS (
+  SELECT * EXCLUDE (pick) FROM (
+    SELECT session_id, seq, turn, role, content, call_id, event_type, source.kind AS source_kind,
+      row_number() OVER (PARTITION BY session_id, seq, content ORDER BY ingested_at NULLS LAST, turn, call_id, event_type, role) AS pick
+    FROM session_events WHERE session_id IS NOT NULL AND seq IS NOT NULL)
+  WHERE pick = 1
+), whole AS (
+  SELECT session_id FROM (SELECT session_id, seq, count(*) AS n FROM distinct_rows GROUP BY ALL)
+  GROUP BY session_id HAVING max(n) = 1 AND min(seq) = 1 AND max(seq) = count(*)
+), kinds AS (
+  SELECT r.*, coalesce(event_type, CASE lower(trim(role)) WHEN 'user' THEN 'user/message' WHEN 'assistant' THEN 'assistant/message' WHEN 'tool' THEN 'tool/result' END) AS kind,
+    CASE WHEN ltrim(content) LIKE '[%' AND json_valid(content) THEN array_to_string(list_transform(
+      list_filter(CAST(content AS JSON[]), lambda b: b->>'$.type' = 'text'), lambda b: b->>'$.text'), ' ') ELSE content END AS body
+  FROM distinct_rows r SEMI JOIN whole USING (session_id)
+), starts AS (
+  SELECT session_id, seq AS opened, turn, seq = max(seq) OVER (PARTITION BY session_id, turn) OR turn IS NULL AS counts
+  FROM kinds WHERE kind = 'turn/start'
+), placed AS (
+  SELECT k.*, max(CASE WHEN kind = 'turn/start' THEN seq END) OVER (PARTITION BY session_id ORDER BY seq) AS opened FROM kinds k
+), windows AS (
+  SELECT p.*, 's' || opened AS win FROM placed p SEMI JOIN (SELECT * FROM starts WHERE counts) s USING (session_id, opened)
+  UNION ALL
+  SELECT p.*, 't' || coalesce(CAST(turn AS VARCHAR), '') FROM placed p ANTI JOIN starts s USING (session_id)
+), messages AS (
+  SELECT * FROM windows WHERE kind IN ('user/message', 'assistant/message', 'tool/result')
+    AND NOT (kind = 'user/message' AND coalesce(source_kind, '') = 'plugin') AND regexp_matches(coalesce(body, ''), '[\\p{L}\\p{N}]')
+), turns AS (
+  SELECT session_id, win, arg_min(kind, seq) AS opener, max(seq) FILTER (kind = 'user/message') AS asked, max(seq) FILTER (kind = 'assistant/message') AS answered
+  FROM messages GROUP BY ALL
+), broken AS (
+  SELECT session_id FROM turns WHERE opener <> 'user/message' OR (asked IS NOT NULL AND coalesce(answered, 0) < asked)
+  UNION
+  SELECT session_id FROM windows t WHERE kind = 'tool/result' AND NOT EXISTS (SELECT 1 FROM windows a
+    WHERE a.session_id = t.session_id AND a.win = t.win AND a.kind = 'assistant/message' AND a.call_id = t.call_id AND a.seq < t.seq)
+  UNION
+  SELECT session_id FROM windows a WHERE kind = 'assistant/message' AND call_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM windows t
+    WHERE a.session_id = t.session_id AND a.win = t.win AND t.kind = 'tool/result' AND a.call_id = t.call_id AND a.seq < t.seq)
+)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS msg_no, seq FROM messages ANTI JOIN broken USING (session_id)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": P2_SQL,
     "p5_found": """
 SELECT DISTINCT parent_no FROM parent_chunks
 WHERE length(regexp_replace(core_text, '[\\x00-\\x7F]', '', 'g'))
