@@ -2,12 +2,12 @@
 
 1. Texts with the same set of runs are one *class*; only one set per class goes on.
 2. Runs are ordered from rare to frequent (counts over all classes). Two sets can reach the threshold only if their
-   prefixes in that order share a run, so each shared prefix run is the root of a tree over the classes that have it.
-   This is the top level of the search: roots without a common run have no possible overlap.
+   prefixes in that order share a number of runs (``shared_least``), so each prefix run is the root of a tree over the
+   classes that have it. This is the top level of the search: roots without a common run have no possible overlap.
 3. Within a root, classes are leaves of a tree whose nodes hold the OR of their members' bitmaps, the range of their
    sizes and their largest number of runs that fell on a taken bit. Two nodes are traversed together level by level; a
    pair is dropped if sizes rule it out or the common bits and the surplus bound the overlap below what is needed.
-4. The few pairs of leaves left are compared exactly.
+4. Pairs of leaves left under fewer roots than they must share are dropped; the others are compared exactly.
 
 Roots over ``BLOCK`` classes are split into blocks, and trees are built for pairs of blocks, so no task collects more than
 two blocks of one root. No class or partner is ever dropped.
@@ -79,6 +79,11 @@ def _leaves(batches):
         yield pa.RecordBatch.from_arrays([name, pa.array(np.diff(offsets).astype(np.int32)), pa.array(least), pa.array([signature(p).tobytes() for p in parts], pa.binary())], names=["class", "size", "least", "bits"])
 
 
+def shared_least(size):
+    """How many runs the prefixes of two sets must share, by the smaller set's size: one, and a twentieth of it."""
+    return 1 + size // 20
+
+
 def _roots(threshold: float, often: np.ndarray, counts: np.ndarray):
     """The runs in the prefix of each class. ``often`` is sorted; runs that it lacks are rarer and go first."""
 
@@ -94,7 +99,7 @@ def _roots(threshold: float, often: np.ndarray, counts: np.ndarray):
             owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((flat, df, owner))
             place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + shared_least(sizes)
             keep = place < np.repeat(prefix, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep]), pa.array(name[owner[keep]])], names=["root", "class"])
 
@@ -156,12 +161,14 @@ def _trees(threshold: float):
             out.append((a + edges[g], b + edges[g]))
         x, y = (np.concatenate([p[i] for p in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
         ok = ~cross[x] | (block[x] != block[y])
-        x, y = name[x[ok]], name[y[ok]]
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        x, y = x[ok], y[ok]
+        need = shared_least(np.minimum(size[x], size[y]))
+        pairs, n = np.unique(np.stack([np.minimum(name[x], name[y]), np.maximum(name[x], name[y]), need], axis=1), axis=0, return_counts=True) if len(x) else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i]) for i in range(3)), pa.array(n.astype(np.int64))], names=["a", "b", "need", "n"])
 
     def run(batches):
         kept, n = [], 0
+
         def columns(tables):
             t = pa.Table.from_batches(tables).combine_chunks()
             key = np.stack([t.column(c).to_numpy() for c in ("root", "low", "high")], axis=1)
@@ -220,7 +227,8 @@ def similar_classes(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> tup
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("root", "class", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     placed = placed.join(leaves, "class").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "least", "size")
-    pairs = placed.select("root", "low", "high", "block", "class", "size", "bits").mapInArrow(_trees(threshold), "a bigint, b bigint").distinct()
+    pairs = placed.select("root", "low", "high", "block", "class", "size", "bits").mapInArrow(_trees(threshold), "a bigint, b bigint, need bigint, n bigint")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
     pairs = storage.materialize(pairs, "pairs")
     both = pairs.join(classes.select(F.col("class").alias("a"), F.col("runs").alias("ra")), "a").join(classes.select(F.col("class").alias("b"), F.col("runs").alias("rb")), "b")
     shared = F.size(F.array_intersect("ra", "rb"))
