@@ -39,15 +39,15 @@ class Memory:
     def recall(self, queries: DataFrame, limit: int = 5) -> DataFrame:
         """Selected parents of each query with their current text, at most ``limit`` (1 to 20)."""
         self._allow("read")
-        stages = match.retrieve(queries, self.children, self.parents, config=self.config)
-        rows = stages["picks"].join(stages["parents"].select("query_id", "parent_id", "scope", "view", "relevance"), ["query_id", "parent_id"])
+        stages = match.Retrieval(queries, self.children, self.parents, config=self.config)
+        rows = stages.picks.join(stages.parents.select("query_id", "parent_id", "scope", "view", "relevance"), ["query_id", "parent_id"])
         return rows.filter(F.col("pick") < max(1, min(20, int(limit))))
 
     def retrieve(self, queries: DataFrame) -> DataFrame:
         """Results of the first stage, with the bank where that doesn't settle a query."""
         self._allow("read")
         if self.bank is None:
-            return match.retrieve(queries, self.children, self.parents, config=self.config)["result"]
+            return match.Retrieval(queries, self.children, self.parents, config=self.config).result
         return match.with_fallback(queries, (self.children, self.parents), self.bank, config=self.config)
 
     def plan(self, query: str, candidates: list[dict]) -> list[str]:

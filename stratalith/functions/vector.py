@@ -41,7 +41,7 @@ def cosine(a: Column, b: Column) -> Column:
     """In double precision; 0 for null, empty, of unequal length or zero norm."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0) & (norm < float("inf")), dot(a, b) / norm).otherwise(0.0)
 
 
 def child_score(query: Column, query_model: Column, child: Column, child_model: Column) -> Column:

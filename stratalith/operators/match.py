@@ -10,10 +10,13 @@ Tables, all keyed so that a scope's data meets by equi-joins:
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalith import storage
 from stratalith.config import Config
 from stratalith.functions import text, vector
 
@@ -193,24 +196,55 @@ def result(queries: DataFrame, subs: DataFrame, parents: DataFrame, picks: DataF
     return rows.select("query_id", "sufficient", kept.alias("selected"), "found", "covered", "uncovered", reasons.alias("reasons"), (~F.col("sufficient") & any_parent & (F.size(reasons) > 0)).alias("needs_planner"), margin.alias("margin"), "n_parents")
 
 
-def retrieve(queries: DataFrame, children: DataFrame, parents: DataFrame, split: bool = True, config: Config = Config()) -> dict[str, DataFrame]:
-    """All stages by name; nothing runs before one of them is used."""
-    subs = subqueries(queries, split, config)
-    rows = ranked(scored(subs, children, config), parents, config)
-    first = admitted(rows, config)
-    extra = guaranteed(rows, first, config)
-    hits = union_top(first.unionByName(extra), config)
-    table = aggregated(hits, parents, config)
-    picks = selected(table, subs, config)
-    return {"subs": subs, "rows": rows, "admitted": first, "guaranteed": extra, "hits": hits, "parents": table, "picks": picks, "result": result(queries, subs, table, picks)}
+class Retrieval:
+    """The stages of a set of queries, each made when it is first used.
+
+    Rows, hits and parents feed several later stages, so they are written once to the shared folder.
+    """
+
+    def __init__(self, queries: DataFrame, children: DataFrame, parents: DataFrame, split: bool = True, config: Config = Config()):
+        self.queries, self.children, self.candidates, self.split, self.config = queries, children, parents, split, config
+
+    @cached_property
+    def subs(self) -> DataFrame:
+        return subqueries(self.queries, self.split, self.config)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return storage.materialize(ranked(scored(self.subs, self.children, self.config), self.candidates, self.config), "rows")
+
+    @cached_property
+    def admitted(self) -> DataFrame:
+        return admitted(self.rows, self.config)
+
+    @cached_property
+    def guaranteed(self) -> DataFrame:
+        return guaranteed(self.rows, self.admitted, self.config)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        both = storage.materialize(self.admitted.unionByName(self.guaranteed), "union")
+        return storage.materialize(union_top(both, self.config), "hits")
+
+    @cached_property
+    def parents(self) -> DataFrame:
+        return storage.materialize(aggregated(self.hits, self.candidates, self.config), "parents")
+
+    @cached_property
+    def picks(self) -> DataFrame:
+        return storage.materialize(selected(self.parents, self.subs, self.config), "picks")
+
+    @cached_property
+    def result(self) -> DataFrame:
+        return result(self.queries, self.subs, self.parents, self.picks)
 
 
 def with_fallback(queries: DataFrame, sensory: tuple[DataFrame, DataFrame], bank: tuple[DataFrame, DataFrame], split: bool = True, config: Config = Config()) -> DataFrame:
     """Results of the first stage, and, only for queries that it doesn't settle, of both layers together."""
-    first = retrieve(queries, *sensory, split, config)["result"].withColumn("stage", F.lit("sensory"))
+    first = storage.materialize(Retrieval(queries, *sensory, split, config).result.withColumn("stage", F.lit("sensory")), "first")
     open_ids = first.filter((F.size("found") == 0) | (F.size("uncovered") > 0)).select("query_id")
     rest = queries.join(open_ids, "query_id", "left_semi")
-    both = retrieve(rest, sensory[0].unionByName(bank[0]), sensory[1].unionByName(bank[1]), split, config)["result"].withColumn("stage", F.lit("sensory+bank"))
+    both = Retrieval(rest, sensory[0].unionByName(bank[0]), sensory[1].unionByName(bank[1]), split, config).result.withColumn("stage", F.lit("sensory+bank"))
     return first.join(open_ids, "query_id", "left_anti").unionByName(both)
 
 

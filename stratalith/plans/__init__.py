@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import cdc
+from stratalith.plans import cdc, retrieval
 
-MODULES = [cdc]
+MODULES = [cdc, retrieval]
 
 
 def queries() -> dict:
