@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.plans import cdc, retrieval
+from stratalith.plans import cdc, retrieval, state
 
-MODULES = [cdc, retrieval]
+MODULES = [cdc, retrieval, state]
 
 
 def queries() -> dict:

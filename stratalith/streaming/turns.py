@@ -30,10 +30,11 @@ class Turns(StatefulProcessor):
     """Closes a turn at ``turn/end`` or at the next ``turn/start``; evicts it if the session's surface is over the limit.
 
     State per session: the open turn, and the tokens on the surface. A surface at ``trigger`` gives turns up until it is
-    at ``target``. A timer closes a turn that stays open for ``idle_ms``.
+    at ``target``. With ``idle_ms`` a timer closes a turn that stays
+    open for so long; such a stream never ends by itself.
     """
 
-    def __init__(self, trigger: int, target: int, checkpoint_tokens: int = 80, idle_ms: int = 86_400_000):
+    def __init__(self, trigger: int, target: int, checkpoint_tokens: int = 80, idle_ms: int | None = None):
         self.trigger, self.target, self.checkpoint_tokens, self.idle_ms = trigger, target, checkpoint_tokens, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -70,9 +71,9 @@ class Turns(StatefulProcessor):
                     out.append(self._close(key))
                 elif r.event_type in ROLE_OF:
                     self.open.update((turn, start, int(r.seq), n + 1, tokens + int(r.tokens)))
-        for timer in self.handle.listTimers():
+        for timer in list(self.handle.listTimers()) if self.idle_ms else []:
             self.handle.deleteTimer(timer)
-        if self.open.exists():
+        if self.idle_ms and self.open.exists():
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield self._frame(out)
 
@@ -90,7 +91,7 @@ class Turns(StatefulProcessor):
 def turns(events: DataFrame, trigger: int = 77_000, target: int = 65_000, **settings) -> DataFrame:
     """Closed turns of a stream of session events. Sessions need the RocksDB state store (``ROCKSDB``)."""
     rows = arrivals(events)
-    return rows.groupBy("session_id").transformWithStateInPandas(Turns(trigger, target, **settings), outputStructType=TURN, outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("session_id").transformWithStateInPandas(Turns(trigger, target, **settings), outputStructType=TURN, outputMode="Append", timeMode="ProcessingTime" if settings.get("idle_ms") else "None")
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "1 day") -> DataFrame:
