@@ -37,11 +37,19 @@ def feature_hash(c: Column, dims: int = 64) -> Column:
     return F.aggregate(F.array(F.struct(sums.alias("s"), norm.alias("n"))), zero, lambda _, p: F.transform(p["s"], lambda v: F.when(p["n"] > 0, F.floor(v / p["n"] * 1e6 + 0.5) / 1e6).otherwise(v)))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """In double precision, of arrays of one length; null if a component is."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 for null, empty, of unequal length or zero norm."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0) & (norm < float("inf")), dot(a, b) / norm).otherwise(0.0)
+    """In double precision; 0 for null, empty, of unequal length, zero or not finite norm."""
+    size = norm(a) * norm(b)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (size > 0) & (size < float("inf")), dot(a, b) / size).otherwise(0.0)
 
 
 def child_score(query: Column, query_model: Column, child: Column, child_model: Column) -> Column:

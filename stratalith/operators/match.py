@@ -31,30 +31,29 @@ def subqueries(queries: DataFrame, split: bool = True, config: Config = Config()
     return out.filter("sub_text <> ''").drop("parts", "text")
 
 
-def lexical_columns(sub_text: Column, sub_tokens: Column, child_text: Column, child_tokens: Column) -> dict[str, Column]:
-    matched = F.array_intersect(sub_tokens, child_tokens)
-    phrase = (F.length(text.normalize(sub_text)) >= 3) & F.contains(text.normalize(child_text), text.normalize(sub_text))
-    return {"matched": matched, "phrase": phrase}
-
-
 def scored(subs: DataFrame, children: DataFrame, config: Config = Config()) -> DataFrame:
     """Every sub-query against every child of its scope, with a score above 0. Tokens and norms are computed once a row.
 
     Children are spread over ``SALTS`` parts of their scope, so a scope with a third of all rows is no hot key.
     """
-    q = subs.select("query_id", "sub", "scope", F.col("sub_text"), text.normalize(F.col("sub_text")).alias("sub_norm"), text.informative_tokens(F.col("sub_text"), config.stopwords).alias("sub_tokens"), F.col("vector").alias("qv"), F.col("vector_model").alias("qm"))
+    q = subs.select("query_id", "sub", "scope", text.normalize(F.col("sub_text")).alias("sub_norm"), text.informative_tokens(F.col("sub_text"), config.stopwords).alias("sub_tokens"), F.col("vector").cast("array<double>").alias("qv"), F.col("vector_model").alias("qm"))
+    q = q.withColumn("sub_strong", F.filter("sub_tokens", text.is_strong)).withColumn("qn", vector.norm(F.col("qv")))
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    c = children.select("scope", "parent_id", "child_id", text.normalize(F.col("text")).alias("child_norm"), text.lexical_tokens(F.col("text")).alias("child_tokens"), F.col("vector").alias("cv"), F.col("vector_model").alias("cm"))
-    c = c.withColumn("salt", F.pmod(F.xxhash64("child_id"), F.lit(SALTS)).cast("int"))
-    rows = q.join(c, ["scope", "salt"])
-    rows = rows.withColumn("tokens", F.array_sort(F.array_intersect("sub_tokens", "child_tokens")))
+    c = children.select("scope", "parent_id", "child_id", text.normalize(F.col("text")).alias("child_norm"), text.lexical_tokens(F.col("text")).alias("child_tokens"), F.col("vector").cast("array<double>").alias("cv"), F.col("vector_model").alias("cm"), vector.norm(F.col("vector")).alias("cn"))
+    c = c.withColumn("salt", F.pmod(F.xxhash64("child_id"), F.lit(SALTS)).cast("int")).repartition("scope", "salt")
+    same = (F.col("qm") == F.col("cm")) & (F.size("qv") == F.size("cv")) & (F.col("qn") * F.col("cn") > 0) & (F.col("qn") * F.col("cn") < float("inf"))
+    rows = q.join(c, ["scope", "salt"]).select(
+        "query_id", "sub", "scope", "parent_id", "child_id", "sub_tokens", "sub_strong",
+        F.sort_array(F.array_intersect("sub_tokens", "child_tokens")).alias("tokens"),
+        ((F.length("sub_norm") >= 3) & F.contains("child_norm", F.col("sub_norm"))).alias("phrase"),
+        F.when(same, F.greatest(F.lit(0.0), vector.dot(F.col("qv"), F.col("cv")) / (F.col("qn") * F.col("cn")))).otherwise(0.0).alias("dense"),
+    )
     rows = rows.withColumn("coverage", F.when(F.size("sub_tokens") > 0, F.size("tokens") / F.size("sub_tokens")).otherwise(0.0))
-    rows = rows.withColumn("n_strong", F.size(F.filter("tokens", text.is_strong)))
-    rows = rows.withColumn("phrase", (F.length("sub_norm") >= 3) & F.contains("child_norm", F.col("sub_norm")))
+    rows = rows.withColumn("n_strong", F.size(F.array_intersect("tokens", "sub_strong")))
     rows = rows.withColumn("lexical", text.lexical_score(F.col("phrase"), F.col("coverage"), F.col("n_strong")))
-    rows = rows.withColumn("dense", vector.child_score(F.col("qv"), F.col("qm"), F.col("cv"), F.col("cm")))
-    rows = rows.withColumn("dense", F.coalesce("dense", F.lit(0.0))).withColumn("score", F.greatest("lexical", "dense"))
-    rows = rows.withColumn("anchor", F.col("phrase") | (F.col("n_strong") >= 1)).filter("score > 0")
+    rows = rows.withColumn("score", F.greatest("lexical", "dense")).withColumn("anchor", F.col("phrase") | (F.col("n_strong") >= 1))
+    # The row number keeps the filter above the columns that it reads: pushed below, it would compute them all again.
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).filter("score > 0 and row >= 0")
     return rows.select("query_id", "sub", "scope", "parent_id", "child_id", "tokens", "coverage", "n_strong", "phrase", "lexical", "dense", "score", "anchor")
 
 
