@@ -21,7 +21,7 @@ from stratalith import storage
 
 TABLES, LEVELS, PROBE_GAP, CELL_ROWS = 3, 3, 0.1, 8192
 SPLITS_ON_DRIVER = 200_000
-TILE = 1024
+TILE = 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -178,28 +178,37 @@ def _rows(dims: int, splits: dict | None):
 def top(query: np.ndarray, q_id: np.ndarray, base: np.ndarray, b_id: np.ndarray, k: int):
     """Ids and similarities of the k most similar base rows of each query, itself left out; ties to the smaller id.
 
-    A single-precision product narrows the choice; the cosines that rank it are double precision, rounded to 12 digits.
+    A product of unit vectors narrows the choice to a few; their cosines, in double precision and rounded to 12 digits,
+    rank them. Where more rows than that are as near as the k-th, all rows of the cell are ranked.
     """
-    b32, bn = _unit(base).astype(np.float32), np.sqrt((base * base).sum(axis=1))
+    unit, bn = _unit(base), np.sqrt((base * base).sum(axis=1))
     order = np.argsort(b_id, kind="stable")
     sorted_ids = b_id[order]
     for lo in range(0, len(query), TILE):
         q, ids = query[lo : lo + TILE], q_id[lo : lo + TILE]
-        s = _unit(q).astype(np.float32) @ b32.T
+        s = _unit(q) @ unit.T
         at = np.searchsorted(sorted_ids, ids)
         own = np.flatnonzero((at < len(sorted_ids)) & (sorted_ids[np.minimum(at, len(sorted_ids) - 1)] == ids))
         s[own, order[at[own]]] = -3
         m = min(k + 11, s.shape[1])
         best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.broadcast_to(np.arange(m), s.shape)
-        # enough for single-precision ties: all at or above the k-th, less the error of the product, are among the m
         qn = np.sqrt((q * q).sum(axis=1))
-        exact = np.einsum("ij,imj->im", q, base[best]) / (qn[:, None] * bn[best])
-        exact = np.round(exact, 12)
-        near = b_id[best]
-        exact[near == ids[:, None]] = -3
-        rank = np.lexsort((near, -exact))[:, :k]
         rows = np.arange(len(q))[:, None]
-        yield ids, near[rows, rank], exact[rows, rank]
+
+        def nearest_of(rows, best):
+            exact = np.round(np.einsum("ij,imj->im", q[rows], base[best]) / (qn[rows, None] * bn[best]), 12)
+            near = b_id[best]
+            exact[near == ids[rows][:, None]] = -3
+            rank = np.lexsort((near, -exact))[:, :k]
+            i = np.arange(len(rows))[:, None]
+            return near[i, rank], exact[i, rank]
+
+        near, exact = nearest_of(rows[:, 0], best)
+        if m < s.shape[1]:
+            tied = np.flatnonzero((s >= exact[:, -1:] - 2e-12).sum(axis=1) > m)
+            for i in tied:  # one by one, as a cell may be large
+                near[i], exact[i] = (x[0] for x in nearest_of(np.array([i]), np.arange(s.shape[1])[None, :]))
+        yield ids, near, exact
 
 
 FOUND = "child_no bigint, near array<struct<far double, id bigint>>"
