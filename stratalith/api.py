@@ -60,6 +60,26 @@ class Memory:
         known = {c["id"] for c in offered}
         return [i for i in dict.fromkeys(picked.get("selectedIds", []) if isinstance(picked, dict) else []) if i in known][:8]
 
+    def review(self, record: dict, complete: Callable[[str], str] | None = None) -> dict:
+        """A language model's verdict on promoting a record: target, importance, durability, quality.
+
+        Under a confidence of 0.8 the target is ``none``; quality is at most the record's own.
+        """
+        ask = complete or self.planner
+        answer = text.last_json(ask(json.dumps(record))) if ask else None
+        got = json.loads(answer) if answer else {}
+        got = got if isinstance(got, dict) else {}
+
+        def share(name: str, fallback: float = 0.5) -> float:
+            try:
+                value = float(got.get(name))
+            except (TypeError, ValueError):
+                return fallback
+            return min(1.0, max(0.0, value)) if value == value else fallback
+
+        target = got.get("target") if got.get("target") in ("semipersistent", "bank") and share("confidence", 0.0) >= 0.8 else "none"
+        return {"target": target, "importance": share("importance"), "durability": share("durability"), "evidence_quality": min(share("evidenceQuality"), float(record.get("evidence_quality") or 0.0))}
+
     def open(self, key: str) -> DataFrame:
         """A record by ``chunk:id``, id or label, from any layer, with its source rows' numbers."""
         self._allow("read")

@@ -39,6 +39,11 @@ def estimate_tokens(c: Column) -> Column:
     return ascii_tokens + F.length(F.regexp_replace(nonblank(c), r"[\x00-\x7F]", ""))
 
 
+def estimate_input_tokens(system: Column, tools: Column, messages: Column) -> Column:
+    """Tokens of a request: its system text, and its tools and messages (any structs or arrays) as JSON."""
+    return estimate_tokens(system) + estimate_tokens(F.to_json(tools)) + estimate_tokens(F.to_json(messages))
+
+
 def clean(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(nonblank(c), "\r\n?", "\n"), r"(?U)^\s+|\s+$", "")
 
@@ -173,6 +178,27 @@ def last_json(text: str | None) -> str | None:
     return None if found is None else json.dumps(found)
 
 
+def clip(value: str | None, limit: int, end: bool = False) -> str | None:
+    """The longest prefix (or, with ``end``, suffix) of at most ``limit`` tokens."""
+    if value is None:
+        return None
+    from stratalith.operators.chunker import Sizes
+
+    size = Sizes(value)
+    if size(0, len(value)) <= limit:
+        return value
+    if end:
+        return value[size.tail(0, len(value), limit) :]
+    cut = size.head(0, len(value), limit)
+    return value[:cut] if size(0, cut) <= limit else ""
+
+
+def clip_to_tokens(c: Column, limit: int, end: bool = False) -> Column:
+    """Column form of :func:`clip`; texts of no more characters than ``limit`` never leave the JVM."""
+    cut = F.pandas_udf(lambda s: s.map(lambda x: clip(x, limit, end)), StringType())
+    return F.when(F.length(c) <= limit, c).otherwise(cut(c))
+
+
 @F.pandas_udf(StringType())
 def llm_json(s: pd.Series) -> pd.Series:
     return s.map(last_json)

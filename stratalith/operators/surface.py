@@ -92,3 +92,40 @@ def request_attributes(messages: DataFrame) -> DataFrame:
 def snapshot_action(previous: Column, current: Column) -> Column:
     """What becomes of a session's snapshot message, by its old and new revision (null: none)."""
     return F.when(previous.isNull() & current.isNull(), "none").when(previous.isNull(), "insert").when(current.isNull(), "supersede-to-empty").when(previous == current, "reuse").otherwise("supersede-and-insert")
+
+
+def replacements(requests: DataFrame, segments: DataFrame, applied: DataFrame) -> DataFrame:
+    """Replacement events for segments: ``session_id, segment_id, seq, start, end, text`` of requests that hold.
+
+    ``requests`` has ``session_id, segment_id, revision, text``, ``segments`` also ``revision, first_seq, last_seq``. A
+    request for another revision is refused, one whose range was replaced already is passed over. ``seq`` follows the
+    session's last number.
+    """
+    rows = requests.join(segments, ["session_id", "segment_id", "revision"]).filter("first_seq <= last_seq")
+    done = applied.select("session_id", F.col("start").alias("first_seq"), F.col("end").alias("last_seq"))
+    rows = rows.join(done, ["session_id", "first_seq", "last_seq"], "left_anti")
+    last = segments.groupBy("session_id").agg(F.max("last_seq").alias("last"))
+    n = F.row_number().over(Window.partitionBy("session_id").orderBy("first_seq", "segment_id"))
+    rows = rows.join(last, "session_id").withColumn("seq", F.col("last") + n)
+    return rows.select("session_id", "segment_id", "seq", F.col("first_seq").alias("start"), F.col("last_seq").alias("end"), "text")
+
+
+def with_injections(messages: DataFrame, injections: DataFrame) -> DataFrame:
+    """Messages in order, with a session's manifest, snapshot and catalog right before its last user message.
+
+    ``injections`` has ``session_id, purpose, text``; sessions without a user message get them at the end.
+    """
+    order = F.create_map(*(F.lit(x) for pair in (("sensory-root-manifest", 0), ("semipersistent-snapshot", 1), ("sensory-catalog", 2)) for x in pair))
+    claimed = messages.groupBy("session_id").agg(F.max(F.when((F.col("role") == "user") & (F.coalesce("source_kind", F.lit("user")) != "plugin"), F.col("seq"))).alias("claimed"), F.max("seq").alias("last"))
+    extra = injections.filter("text is not null").join(claimed, "session_id")
+    extra = extra.select("session_id", F.coalesce(F.col("claimed"), F.col("last") + 1).alias("seq"), F.coalesce(order[F.col("purpose")], F.lit(2)).alias("place"), F.lit("user").alias("role"), F.lit("plugin").alias("source_kind"), "text")
+    own = messages.select("session_id", "seq", F.lit(9).alias("place"), "role", "source_kind", "text")
+    return own.unionByName(extra).orderBy("session_id", "seq", "place")
+
+
+def injected_evidence(items: DataFrame, max_tokens: Column, observation: Column) -> DataFrame:
+    """``query_id, evidence``: whole parents in order of ``pick`` that fit beside the observation, joined by blank lines."""
+    rows = items.withColumn("limit", F.greatest(F.lit(0), max_tokens - text.estimate_tokens(observation) - 32))
+    kept = skipping(rows, ["query_id"], ["pick"], text.estimate_tokens(F.col("view")) + 24, F.col("limit")).filter("accepted")
+    parts = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pick", "view"))).alias("p"))
+    return parts.select("query_id", F.array_join(F.transform("p", lambda x: x["view"]), "\n\n").alias("evidence"))

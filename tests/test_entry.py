@@ -28,6 +28,8 @@ def test_memory(spark, tmp_path):
     memory.demote("s", 1, 9)
     assert memory.status().collect()[0]["live"] == 1
     assert memory.open("chunk:seg-s-1").count() == 1
+    verdict = memory.review({"evidence_quality": 0.7}, lambda p: '{"target": "bank", "confidence": 0.9, "evidenceQuality": 2, "importance": "x"}')
+    assert verdict == {"target": "bank", "importance": 0.5, "durability": 0.5, "evidence_quality": 0.7}
     assert memory.plan("q", [{"id": "p1"}]) == ["p1"]
     assert api.call(memory, "sensory_debug_last_prompt").count() == 1
     memory.drop_session("s")

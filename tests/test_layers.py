@@ -89,3 +89,16 @@ def test_chunker(spark):
     docs = spark.createDataFrame([("1", None, "hello there", None, None), ("2", None, " ", None, None), ("3", None, None, None, None)], "source_id string, title string, text string, format string, language string")
     assert rows(chunker.children(chunker.chunk_table(docs)), "source_id", "start_offset", "end_offset") == [("1", 0, 11)]
     assert chunker.chunk("中" * 5000, "k")[0]["token_count"] <= 3072
+
+
+def test_replacements_and_injections(spark):
+    segs = spark.createDataFrame([("s", "a", 1, 1, 3), ("s", "b", 2, 4, 6)], "session_id string, segment_id string, revision int, first_seq bigint, last_seq bigint")
+    asked = spark.createDataFrame([("s", "a", 1, "x"), ("s", "b", 1, "y")], "session_id string, segment_id string, revision int, text string")
+    none = spark.createDataFrame([], "session_id string, start bigint, end bigint")
+    assert rows(surface.replacements(asked, segs, none), "segment_id", "seq", "start", "end") == [("a", 7, 1, 3)]
+    assert surface.replacements(asked, segs, spark.createDataFrame([("s", 1, 3)], "session_id string, start bigint, end bigint")).count() == 0
+    messages = spark.createDataFrame([("s", 1, "user", "user", "q"), ("s", 2, "assistant", None, "a")], "session_id string, seq bigint, role string, source_kind string, text string")
+    extra = spark.createDataFrame([("s", "sensory-catalog", "C"), ("s", "sensory-root-manifest", "M"), ("s", "semipersistent-snapshot", None)], "session_id string, purpose string, text string")
+    assert [r["text"] for r in surface.with_injections(messages, extra).collect()] == ["M", "C", "q", "a"]
+    items = spark.createDataFrame([(1, 0, "a" * 400), (1, 1, "b" * 40)], "query_id int, pick int, view string")
+    assert rows(surface.injected_evidence(items, F.lit(120), F.lit("x" * 40)), "evidence") == [("b" * 40,)]

@@ -78,3 +78,9 @@ def test_policy(spark):
 def test_clamps():
     c = Config(parent_max_tokens=10, context_pressure_ratio=2.0)
     assert (c.parent_max_tokens, c.parent_target_tokens, c.context_pressure_ratio) == (96, 96, 0.95)
+
+
+def test_clip(spark):
+    assert text.clip("abcdefgh", 1) == "abcd" and text.clip("abcdefgh", 1, end=True) == "efgh" and text.clip("中文", 1) == "中" and text.clip("中", 0) == ""
+    assert one(spark, text.clip_to_tokens(F.lit("a" * 50), 3)) == "a" * 12
+    assert one(spark, text.estimate_input_tokens(F.lit("abcd"), F.array(F.lit("x")), F.array(F.lit("y")))) == 1 + 2 + 2
