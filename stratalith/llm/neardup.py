@@ -28,7 +28,7 @@ from stratalith import storage
 from stratalith.llm.hashing import WordValues, rolling
 
 BITS, FANOUT, LEAVES, BLOCK, CHUNK = 512, 8, 32, 512, 100_000
-FREQUENT = 500_000
+FREQUENT = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -217,8 +217,10 @@ def similar_classes(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> tup
         if total > FREQUENT:
             break
         least = power
-    often = sorted((r[0], r[1]) for r in counts.filter(F.col("count") >= 2**least).collect()) if least < 63 else []
-    often, often_counts = np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64)
+    listed = counts.filter(F.col("count") >= (2**least if least < 63 else 2**62)).toArrow()
+    often, often_counts = (listed.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(often)
+    often, often_counts = often[order], often_counts[order]
     roots = storage.materialize(classes.mapInArrow(_roots(threshold, often, often_counts), ROOT), "roots")
     leaves = classes.mapInArrow(_leaves, LEAF)
     size = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
