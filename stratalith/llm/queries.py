@@ -119,7 +119,30 @@ WITH distinct_rows AS (
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS msg_no, seq FROM messages ANTI JOIN broken USING (session_id)
 """
 
+P3_SQL = """
+WITH texts AS (SELECT parent_no, max(document_id) AS d, regexp_extract_all(lower(max(core_text)), '[\\p{L}\\p{N}]+') AS w FROM parent_chunks GROUP BY parent_no),
+runs AS (SELECT DISTINCT parent_no, d, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM texts),
+sizes AS (SELECT parent_no, count(*) AS n FROM runs GROUP BY parent_no),
+pairs AS (SELECT a.parent_no AS parent_a, b.parent_no AS parent_b, count(*) AS shared FROM runs a JOIN runs b USING (run) WHERE a.parent_no < b.parent_no AND a.d <> b.d GROUP BY ALL)
+SELECT parent_a, parent_b FROM pairs JOIN sizes x ON x.parent_no = parent_a JOIN sizes y ON y.parent_no = parent_b WHERE shared / (x.n + y.n - shared) >= 0.6
+"""
+
+P8_SQL = """
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+words AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM texts),
+windows AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER r) AS h, count(*) OVER r AS n
+  FROM words WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)),
+shared AS (SELECT doc_id, i FROM windows SEMI JOIN (SELECT h FROM windows WHERE n = 40 GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h) WHERE n = 40),
+marked AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 40 THEN 1 ELSE 0 END AS new FROM shared),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS first_word, max(i) + 39 AS last_word FROM runs GROUP BY doc_id, run)
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": P3_SQL,
+    "p8_found": P8_SQL + "SELECT doc_id, first_word, last_word FROM spans",
+    "p8_share": P8_SQL + """SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS shared_words, coalesce(n, 0) / greatest(coalesce(len(w), 0), 1) AS shared_share
+FROM texts LEFT JOIN (SELECT doc_id, sum(last_word - first_word + 1) AS n FROM spans GROUP BY doc_id) USING (doc_id)""",
     "p2_found": P2_SQL,
     "p5_found": """
 SELECT DISTINCT parent_no FROM parent_chunks
