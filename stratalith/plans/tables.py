@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.functions import text
@@ -32,9 +32,16 @@ def match_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("workspace_id").alias("scope"), "parent_id", "document_id", F.lit(None).cast("bigint").alias("turn"), (reason == "eligible").alias("eligible"), F.lit(True).alias("source_valid"), F.lit(False).alias("conflict"), "updated_at", F.col("core_text").alias("view"))
 
 
+def child_text() -> Column:
+    """The child's slice of ``core_text``, to its end without an end offset; the preview, which is cut, only where that is empty."""
+    core, start = F.col("core_text"), F.greatest(F.lit(0), F.coalesce("start_offset", F.lit(0)))
+    end = F.greatest(start, F.coalesce(F.nullif(F.col("end_offset"), F.lit(0)), F.length(core)))
+    return F.coalesce(F.nullif(F.substring(core, start + 1, end - start), F.lit("")), F.col("embedding_text_preview"))
+
+
 def match_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owner = parents(spark, sf_dir).filter("workspace_id is not null").select("parent_id", F.col("workspace_id").alias("scope"))
-    return children(spark, sf_dir).join(owner, "parent_id").select("scope", "parent_id", "child_id", F.col("embedding_text_preview").alias("text"), "vector", "vector_model", "child_no")
+    owner = parents(spark, sf_dir).filter("workspace_id is not null").select("parent_id", F.col("workspace_id").alias("scope"), "core_text")
+    return children(spark, sf_dir).join(owner, "parent_id").select("scope", "parent_id", "child_id", child_text().alias("text"), "vector", "vector_model", "child_no")
 
 
 def match_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
