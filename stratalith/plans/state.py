@@ -218,11 +218,14 @@ def layer_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supersede(spark: SparkSession, d: str) -> DataFrame:
+    """Texts are the children's slices of ``core_text``; a child without offsets has none and takes no part."""
     owner = t.parents(spark, d).filter("session_id is not null")
     position = F.row_number().over(Window.partitionBy("session_id").orderBy("updated_at", "parent_no"))
-    owner = owner.select("session_id", "parent_id", "core_text", position.alias("position"))
-    rows = t.children(spark, d).join(owner, "parent_id").filter("embedding_text_preview is not null")
-    rows = rows.select("session_id", "position", "parent_id", "child_id", "core_text", F.col("embedding_text_preview").alias("text"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("vector_model"))
+    updated = F.bool_or(layers.is_update(F.col("core_text"))).over(Window.partitionBy("session_id"))
+    owner = owner.select("session_id", "parent_id", "core_text", position.alias("position"), updated.alias("updated")).filter("updated").drop("updated")  # no links without an update
+    start = F.greatest(F.lit(0), F.col("start_offset"))
+    rows = t.children(spark, d).join(owner, "parent_id").withColumn("text", F.substring("core_text", start + 1, F.col("end_offset") - start)).filter("start_offset is not null and text <> ''")
+    rows = rows.select("session_id", "position", "parent_id", "child_id", "core_text", "text", "vector", "vector_model")
     return layers.superseded(rows).select("session_id", "old_child_id", "new_child_id")
 
 

@@ -1,4 +1,6 @@
-from stratalith.plans import tables
+from conftest import rows
+
+from stratalith.plans import state, tables
 
 PARENT = "parent_no bigint, parent_id string, session_id string, workspace_id string, document_id string, document_title string, core_text string, evidence_quality double, temporal_current boolean, updated_at timestamp"
 CHILD = "child_no bigint, child_id string, parent_id string, start_offset int, end_offset int, embedding_text_preview string, vector array<float>, vector_model string, vector_state string"
@@ -7,8 +9,8 @@ CHILD = "child_no bigint, child_id string, parent_id string, start_offset int, e
 def folder(spark, path, parents, children):
     """``parents``: number, text; ``children``: number, number of the parent, offsets, preview, vector."""
     spark.createDataFrame([(p, f"p{p}", "s", "w", None, None, core, 1.0, True, None) for p, core in parents], PARENT).write.parquet(f"{path}/parent_chunks.parquet")
-    rows = [(c, f"c{c}", f"p{p}", a, b, preview, v, "m" if v else None, "active") for c, p, a, b, preview, v in children]
-    spark.createDataFrame(rows, CHILD).write.parquet(f"{path}/child_spans.parquet")
+    kids = [(c, f"c{c}", f"p{p}", a, b, preview, v, "m" if v else None, "active") for c, p, a, b, preview, v in children]
+    spark.createDataFrame(kids, CHILD).write.parquet(f"{path}/child_spans.parquet")
     return str(path)
 
 
@@ -18,3 +20,12 @@ def test_child_text_is_the_whole_slice(spark, tmp_path):
     got = {r["child_no"]: r["text"] for r in tables.match_children(spark, d).collect()}
     assert got == {20: core[5:312], 40: core[5:312], 3: core, 4: "only here", 5: "no core", 6: core[300:], 7: "head"}
     assert {r["text"] for r in tables.match_queries(spark, d).collect()} == {core[5:312]}
+
+
+def test_supersede_reads_vectors_and_whole_slices(spark, tmp_path):
+    x, y, pad = [1.0, 0.0], [0.0, 1.0], "x " * 200
+    texts = ["gateway port: 8443", "gateway port limit: 8443", pad + "billing quota owner", "gateway port limit changed to 9", pad + "billing quota owner changed to 5"]
+    vectors = [x, y, None, x, None]
+    kids = [(i, i, 0, len(t), t[:240] if i != 2 else None, v) for i, (t, v) in enumerate(zip(texts, vectors))]
+    d = folder(spark, tmp_path, list(enumerate(texts)), kids + [(9, 0, None, None, "gateway port: 8443", x)])
+    assert rows(state.supersede(spark, d), "old_child_id", "new_child_id") == [("c0", "c3"), ("c2", "c4")]
