@@ -156,9 +156,10 @@ LIVE_SQL = VALUE_SQL.replace("SELECT scope_kind, scope_id, collection, id, mutat
 
 
 def _projections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = t.table(spark, d, "ledger_snapshot")
-    records = rows.filter("collection = 'semipersistentRecords' and scope_kind = 'workspace'").select(F.col("scope_id").alias("workspace_id"), F.col("id").alias("record_id"))
-    made = rows.filter("collection = 'semipersistentProjections'").select(F.split_part("id", F.lit("@"), F.lit(1)).alias("record_id"), F.split_part("id", F.lit("@"), F.lit(2)).alias("session_id"))
+    """Records that aren't soft-deleted, sessions, and projections with ``live``: soft-deleted ones exist but aren't deleted again."""
+    rows = _state(spark, d).withColumn("live", ~F.coalesce(tombstoned(F.col("value_json")), F.lit(False)))
+    records = rows.filter("collection = 'semipersistentRecords' and scope_kind = 'workspace' and live").select(F.col("scope_id").alias("workspace_id"), F.col("id").alias("record_id"))
+    made = rows.filter("collection = 'semipersistentProjections'").select(F.split_part("id", F.lit("@"), F.lit(1)).alias("record_id"), F.split_part("id", F.lit("@"), F.lit(2)).alias("session_id"), "live")
     sessions = _events(spark, d).filter("workspace_id is not null and session_id is not null").select("workspace_id", "session_id").distinct()
     return records, sessions, made
 
@@ -166,7 +167,7 @@ def _projections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 def reference_sync(spark: SparkSession, d: str) -> DataFrame:
     records, sessions, made = _projections(spark, d)
     new = layers.missing_references(records, sessions, made).select("record_id", "session_id", F.lit("create").alias("action"))
-    return new.unionByName(layers.stale_references(records, made).select("record_id", "session_id", F.lit("delete").alias("action")))
+    return new.unionByName(layers.stale_references(records, made.filter("live")).select("record_id", "session_id", F.lit("delete").alias("action")))
 
 
 # associations

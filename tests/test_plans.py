@@ -29,3 +29,17 @@ def test_supersede_reads_vectors_and_whole_slices(spark, tmp_path):
     kids = [(i, i, 0, len(t), t[:240] if i != 2 else None, v) for i, (t, v) in enumerate(zip(texts, vectors))]
     d = folder(spark, tmp_path, list(enumerate(texts)), kids + [(9, 0, None, None, "gateway port: 8443", x)])
     assert rows(state.supersede(spark, d), "old_child_id", "new_child_id") == [("c0", "c3"), ("c2", "c4")]
+
+
+def test_reference_sync_reads_the_journal(spark, tmp_path):
+    base = "scope_kind string, scope_id string, collection string, id string, mutation_seq bigint, value_json string"
+    line = "ledger_version int, mutation_seq bigint, scope_kind string, scope_id string, collection string, op string, id string, value_json string, logged_at timestamp"
+    record = lambda n, id, op="upsert", value="{}": (2, n, "workspace", "w", "semipersistentRecords", op, id, value, None)
+    made = lambda n, id, op="upsert", value="{}": (2, n, "session", "s", "semipersistentProjections", op, f"{id}@s", value, None)
+    old = [r[2:5] + (r[6], r[1], r[7]) for r in (record(1, "gone"), record(2, "kept"), record(3, "soft"), made(4, "gone"), made(5, "kept"), made(6, "soft"), made(7, "late"))]
+    dead = '{"tombstonedAt": 1}'
+    new = [record(8, "gone", "delete", None), record(9, "made"), record(10, "soft", value=dead), made(11, "kept", "delete", None), made(12, "late", value=dead), record(13, "full"), made(14, "full")]
+    spark.createDataFrame(old, base).write.parquet(f"{tmp_path}/ledger_snapshot.parquet")
+    spark.createDataFrame(new, line).write.parquet(f"{tmp_path}/ledger_journal.parquet")
+    spark.createDataFrame([("w", "s")], "workspace_id string, session_id string").write.parquet(f"{tmp_path}/session_events.parquet")
+    assert rows(state.reference_sync(spark, str(tmp_path)), "record_id", "action") == [("gone", "delete"), ("kept", "create"), ("made", "create"), ("soft", "delete")]
