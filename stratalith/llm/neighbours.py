@@ -4,6 +4,7 @@ Each of ``TABLES`` tables turns unit vectors by pseudo-rotations (sign flips and
 nearest signed axis. A row is stored in the cell of its axis. As a query it also probes the cell of the runner-up axis if
 that is nearly as near (``PROBE_GAP``). Cells over ``CELL_ROWS`` rows are split by further rotations of the same table;
 a cell that ``LEVELS`` rotations can't split is worked through in pairs of blocks, which loses nothing.
+Rows whose cells hold too few others are searched exactly among all rows of their model, in pairs of blocks.
 Within a cell all similarities are computed by matrix products and the best are ranked exactly, in double precision.
 
 Counts of cells come from all rows. More than ``SMALL`` members with one and the same vector are represented by the
@@ -233,6 +234,43 @@ def _cell(k: int, dims: int):
     return run
 
 
+PACKED = "vector_model string, child_no bigint, vector binary"
+
+
+def _packed(dims: int):
+    def run(batches):
+        for batch in batches:
+            for model, rows, x in _by_model(batch, dims):
+                child = batch.column(batch.schema.get_field_index("child_no")).take(pa.array(rows))
+                raw = np.ascontiguousarray(x.astype(np.float32)).tobytes()
+                vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dims), len(rows), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_pydict({"vector_model": pa.array([model] * len(rows), pa.string()), "child_no": child, "vector": vectors})
+
+    return run
+
+
+def _exact(rows: DataFrame, short: DataFrame, k: int, dims: int) -> DataFrame:
+    """The nearest of the rows named by ``short``, among all rows of their model: every pair of blocks of both."""
+    few = lambda df: F.broadcast(df) if df.count() <= 100_000 else df
+    named = storage.materialize(rows.join(short, "child_no", "left_semi").select("vector_model", "child_no").distinct(), "short")
+    packed = rows.select("vector_model", "child_no", "vector").mapInArrow(_packed(dims), PACKED)
+    sizes = packed.groupBy("vector_model").agg(F.count("*").alias("n_rows")).join(named.groupBy("vector_model").agg(F.count("*").alias("n_short")), "vector_model")
+    blocks = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
+    sizes = storage.materialize(sizes.select("vector_model", blocks("n_rows").alias("nb"), blocks("n_short").alias("nq")), "blocks")
+    mine = lambda n: F.pmod(F.xxhash64("child_no"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = packed.join(few(sizes), "vector_model")
+    query = placed.join(few(named), ["vector_model", "child_no"], "left_semi").withColumn("path", mine("nq")).withColumn("blocks", every("nb")).withColumn("role", F.lit(2))
+    base = placed.withColumn("blocks", mine("nb")).withColumn("path", every("nq")).withColumn("role", F.lit(1))
+    both = query.unionByName(base).select("vector_model", F.col("path").cast("bigint").alias("path"), "blocks", "role", "child_no", "vector")
+    return both.groupBy("vector_model", "path", "blocks").applyInArrow(_cell(k, dims), FOUND)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("child_no").agg(F.flatten(F.collect_list("near")).alias("near"))
+    return best.select("child_no", F.slice(F.array_distinct(F.sort_array("near")), 1, k).alias("near"))
+
+
 def finite_nonzero(dims: int):
     v = F.col("vector")
     return (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -284,8 +322,13 @@ def nearest(spans: DataFrame, k: int = 5, dims: int = 64, cell_rows: int | None
     found = rows.mapInArrow(_rows(dims, splits), ROWS).groupBy("vector_model", "place", "path", "blocks").applyInArrow(_cell(k, dims), FOUND)
     if rest is not None:
         found = found.unionByName(rest)
-    best = found.groupBy("child_no").agg(F.flatten(F.collect_list("near")).alias("near"))
-    best = best.filter(F.size("near") > 0).select("child_no", F.slice(F.array_distinct(F.sort_array("near")), 1, k).alias("near"))
+    best = storage.materialize(_merged(found, k), "best")  # has every row, as it is found in its own cell, if only with no others
+    short = best.filter(F.size("near") < k).select("child_no")
+    if not short.isEmpty():
+        # other members of a copied vector are no loss: its first k + 1 are all that can be among the nearest
+        whole = _merged(_exact(rows, short, k, dims), k)
+        best = best.filter(F.size("near") >= k).unionByName(whole)
+    best = best.filter(F.size("near") > 0)
     return best.select("child_no", F.transform("near", lambda x: F.struct(x["id"].alias("id"), (-x["far"]).alias("similarity"))).alias("near"))
 
 

@@ -66,3 +66,32 @@ def test_several_vectors_of_one_id_and_empty(spark):
     assert near.count() == 3 or near.count() == 2
     assert rows(neighbours.links(near)) == rows(neighbours.links(neighbours.nearest(table(spark, data[::-1]))))
     assert neighbours.nearest(table(spark, [])).count() == 0
+
+
+def test_rows_without_enough_in_their_cells_are_searched_exactly(spark, monkeypatch):
+    x = np.concatenate([clustered(600, 5), np.random.default_rng(6).normal(size=(40, 64)).astype(np.float32)])
+    data = [(i, "m", v) for i, v in enumerate(x)] + [(1000 + i, "few", v) for i, v in enumerate(x[:4])] + [(2000, "one", x[0])]
+    for cap, block in ((8192, 8192), (5, 8192), (5, 100)):
+        monkeypatch.setattr(neighbours, "CELL_ROWS", block)
+        got = {r["child_no"]: [n["id"] for n in r["near"]] for r in neighbours.nearest(table(spark, data), cell_rows=cap).collect()}
+        assert set(got) == set(range(640)) | set(range(1000, 1004))
+        assert {i: len(n) for i, n in got.items()} == {i: 5 if i < 1000 else 3 for i in got}
+        assert {i: got[i] for i in range(1000, 1004)} == brute(list(range(1000, 1004)), x[:4], 3)
+
+
+def test_exact_search_in_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
+    x = clustered(600, 7)
+    data, short = [(i, "m", v) for i, v in enumerate(x)], spark.range(0, 600, 4).withColumnRenamed("id", "child_no")
+    found = neighbours._merged(neighbours._exact(table(spark, data + data[:50]), short, 5, 64), 5)
+    want = brute(list(range(600)), x, 5)
+    assert {r["child_no"]: [n["id"] for n in r["near"]] for r in found.collect()} == {i: want[i] for i in range(0, 600, 4)}
+
+
+def test_three_comparable_rows_and_a_lone_vector_are_whole(spark):
+    r = np.random.default_rng(4)
+    v, w = r.normal(size=64), r.normal(size=64)
+    near = neighbours.nearest(table(spark, [(1, "m", v), (2, "m", v), (3, "m", w)]))
+    assert {r["child_no"]: len(r["near"]) for r in near.collect()} == {1: 2, 2: 2, 3: 2}
+    near = neighbours.nearest(table(spark, [(i, "m", v) for i in range(40)] + [(50, "m", w)]))
+    assert {r["child_no"]: [x["id"] for x in r["near"]] for r in near.collect()}[50] == [0, 1, 2, 3, 4]
