@@ -21,7 +21,7 @@ def informative_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_hash_slots(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.parents(spark, d).select("parent_no", F.explode(vector.hash_slots(text.encoder_tokens(F.col("document_title")))).alias("h"))
+    rows = t.parents(spark, d).select("parent_no", F.explode(vector.hash_slots(text.encoder_tokens(F.col("core_text")))).alias("h"))
     return rows.groupBy("parent_no", F.col("h.slot").cast("bigint").alias("slot")).agg(F.sum("h.sign").cast("bigint").alias("weight"))
 
 

@@ -1,6 +1,6 @@
 from conftest import rows
 
-from stratalith.plans import state, tables
+from stratalith.plans import retrieval, state, tables
 
 PARENT = "parent_no bigint, parent_id string, session_id string, workspace_id string, document_id string, document_title string, core_text string, evidence_quality double, temporal_current boolean, updated_at timestamp"
 CHILD = "child_no bigint, child_id string, parent_id string, start_offset int, end_offset int, embedding_text_preview string, vector array<float>, vector_model string, vector_state string"
@@ -43,3 +43,15 @@ def test_reference_sync_reads_the_journal(spark, tmp_path):
     spark.createDataFrame(new, line).write.parquet(f"{tmp_path}/ledger_journal.parquet")
     spark.createDataFrame([("w", "s")], "workspace_id string, session_id string").write.parquet(f"{tmp_path}/session_events.parquet")
     assert rows(state.reference_sync(spark, str(tmp_path)), "record_id", "action") == [("gone", "delete"), ("kept", "create"), ("made", "create"), ("soft", "delete")]
+
+
+def test_feature_hash_reads_the_texts(spark, tmp_path):
+    d = folder(spark, tmp_path, [(1, "alpha beta alpha " + "gamma " * 90), (2, None)], [])
+    got = retrieval.feature_hash_slots(spark, d).collect()
+    want = {}
+    for token, n in (("alpha", 2), ("beta", 1), ("gamma", 90)):
+        h = 2166136261
+        for c in token:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        want[h % 64] = want.get(h % 64, 0) + (-n if h >> 31 else n)
+    assert {(r["parent_no"], r["slot"]): r["weight"] for r in got} == {(1, s): w for s, w in want.items()}
