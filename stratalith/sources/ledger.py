@@ -79,13 +79,15 @@ def lookup(state: DataFrame, collection: str, key: str, scope_kind: str | None =
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, compact_after: int = 2000):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, compact_after: int = 2000):
         self.spark, self.path, self.compact_after = spark, path.rstrip("/"), max(10, compact_after)
         self.table = cdc.BucketedTable(spark, f"{self.path}/table", cdc.LEDGER)
         fs, where = storage.filesystem(spark, f"{self.path}/table/manifest")
         if not fs.exists(where):
             empty = spark.createDataFrame([], MUTATION)
             self.table = cdc.BucketedTable.create(cdc.ledger_changes(empty), f"{self.path}/table", cdc.LEDGER, buckets)
+        facts = self.journal().agg(F.max("mutation_seq"), F.count("*")).collect()[0]
+        self._last, self._pending = max(facts[0] or 0, self.table.last_sequence() or 0), facts[1]
 
     def journal(self) -> DataFrame:
         fs, where = storage.filesystem(self.spark, f"{self.path}/journal")
@@ -98,22 +100,39 @@ class Ledger:
         return live.select(*cdc.LEDGER.keys, F.col(cdc.SEQ).alias("mutation_seq"), "value_json")
 
     def last_sequence(self) -> int:
-        parts = self.table.rows(deleted=True).select(F.col(cdc.SEQ).alias("s")).unionByName(self.journal().select(F.col("mutation_seq").alias("s")))
-        return parts.agg(F.max("s")).collect()[0][0] or 0
+        """The last number given. One writer appends at a time, and it knows the number since it opened the ledger."""
+        return self._last
 
     def mutate(self, rows: DataFrame) -> int:
-        """Append ``scope_kind, scope_id, collection, op, id, value_json``, numbered in order of the key; returns the last number."""
-        start = self.last_sequence()
-        keyed = storage.materialize(rows.select("scope_kind", "scope_id", "collection", "op", "id", "value_json").withColumn("bucket", F.pmod(F.xxhash64("scope_id", "collection", "id"), F.lit(256))), "mutations")
-        sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"))  # 256 rows
-        before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        numbered = keyed.join(F.broadcast(sizes.select("bucket", before.alias("before"))), "bucket")
-        n = F.row_number().over(Window.partitionBy("bucket").orderBy("scope_id", "collection", "id", "op"))
-        numbered = numbered.withColumn("mutation_seq", F.lit(start) + F.col("before") + n).withColumn("ledger_version", F.lit(cdc.LEDGER_VERSION)).withColumn("logged_at", F.current_timestamp().cast("timestamp_ntz"))
-        numbered.select(*(F.col(f.name).cast(f.dataType) for f in MUTATION)).write.mode("append").parquet(f"{self.path}/journal")
-        if self.journal().count() >= self.compact_after:
+        """Append ``scope_kind, scope_id, collection, op, id, value_json`` in order of ``position``; returns the last number.
+
+        ``position`` (bigint) is the order of the calls; numbers follow it, with its gaps. Rows without that column have
+        no order among themselves, so a key must not repeat; they are numbered by key.
+        """
+        names = ["scope_kind", "scope_id", "collection", "op", "id", "value_json"]
+        ordered = "position" in rows.columns
+        kept = storage.materialize(rows.select(*names, *(["position"] if ordered else [])), "mutations")
+        if ordered:
+            least, most, n = kept.agg(F.min("position"), F.max("position"), F.count("*")).collect()[0]
+            if kept.filter("position is null").limit(1).count():
+                raise ValueError("a row without a position has no place in the journal")
+            numbered, used = kept.withColumn("mutation_seq", F.col("position") - F.lit(least or 0) + F.lit(self._last + 1)), (most - least + 1 if n else 0)
+        else:
+            if kept.groupBy("scope_kind", "scope_id", "collection", "id").count().filter("count > 1").limit(1).count():
+                raise ValueError("rows that repeat a key need a position")
+            keyed = kept.withColumn("bucket", F.pmod(F.xxhash64("scope_id", "collection", "id"), F.lit(256)))
+            sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"))  # 256 rows
+            before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            n = F.row_number().over(Window.partitionBy("bucket").orderBy("scope_kind", "scope_id", "collection", "id"))
+            numbered = keyed.join(F.broadcast(sizes.select("bucket", before.alias("before"))), "bucket").withColumn("mutation_seq", F.lit(self._last) + F.col("before") + n)
+            n = used = kept.count()
+        lines = numbered.withColumn("ledger_version", F.lit(cdc.LEDGER_VERSION)).withColumn("logged_at", F.current_timestamp().cast("timestamp_ntz"))
+        lines.select(*(F.col(f.name).cast(f.dataType) for f in MUTATION)).write.mode("append").parquet(f"{self.path}/journal")
+        storage.release(kept)
+        self._last, self._pending = self._last + used, self._pending + n
+        if self._pending >= self.compact_after:
             self.compact()
-        return self.last_sequence()
+        return self._last
 
     def upsert(self, rows: DataFrame) -> int:
         return self.mutate(rows.withColumn("op", F.lit("upsert")))
@@ -129,9 +148,13 @@ class Ledger:
         return self.delete(rows.select(*cdc.LEDGER.keys))
 
     def compact(self) -> int:
-        """Apply the journal to the table, commit, and only then remove the journal."""
+        """Apply the journal to the table, commit, and only then remove the journal.
+
+        A crash in between leaves lines that the table has already; read again, they change nothing.
+        """
         version = self.table.apply(cdc.ledger_changes(self.journal()))
         storage.remove(self.spark, f"{self.path}/journal")
+        self._pending = 0
         self.flush()
         return version
 

@@ -110,6 +110,6 @@ def apply_feed(journal: DataFrame, table: BucketedTable, checkpoint: str) -> Str
     """Apply a stream of ledger lines to a table, batch by batch; a batch that is run again changes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        table.apply(ledger_changes(df), batch=f"{checkpoint}#{number}")
+        table.apply(ledger_changes(df), batch=number, stream=checkpoint)
 
     return journal.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -52,6 +52,58 @@ def test_only_touched_buckets_are_rewritten_and_batches_apply_once(spark):
     assert table.vacuum() >= 0 and table.rows().count() == 199
 
 
+def test_base_is_not_shuffled_and_buckets_follow_bytes(spark):
+    base = spark.createDataFrame([("session", None if i % 5 == 0 else "s", "c", f"k{i}", i, "x" * 50, 0) for i in range(3000)], SNAPSHOT)
+    table = cdc.BucketedTable.create(cdc.ledger_base(base), new_path(spark, "t"), cdc.LEDGER, bucket_bytes=500)
+    first = table.manifest()
+    assert first["buckets"] > cdc.LEAST_BUCKETS and first["last"] == 2999 and sum(map(len, first["files"].values())) == len(first["files"])
+    merged = cdc.latest(table._scan(first).unionByName(cdc.ledger_base(base).repartition(first["buckets"], *cdc.LEDGER.keys)), cdc.LEDGER)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # that of the feed
+    more = spark.range(3000, 12000).selectExpr("2 AS ledger_version", "id AS mutation_seq", "'session' AS scope_kind", "'s' AS scope_id", "'c' AS collection", "'upsert' AS op", "concat('k', id) AS id", "repeat('y', 60) AS value_json", "timestamp_ntz'2024-01-01' AS logged_at")
+    table.apply(cdc.ledger_changes(more))
+    assert table.manifest()["buckets"] > first["buckets"] and table.rows().count() == 12000 and table.rows(version=first["version"]).count() == 3000
+    again = table.manifest()
+    table.apply(cdc.ledger_changes(more))
+    assert table.manifest()["buckets"] == again["buckets"] and table.rows().distinct().count() == 12000
+
+
+def test_of_two_writers_one_commits(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = new_path(spark, "t")
+    table = cdc.BucketedTable.create(cdc.ledger_base(spark.createDataFrame([], SNAPSHOT)), path, cdc.LEDGER)
+    manifest = table.manifest() | {"version": 1}
+
+    def write(i):
+        try:
+            cdc.BucketedTable(spark, path, cdc.LEDGER)._commit(manifest | {"last": i})
+            return i
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(write, range(8)) if x is not None]
+    assert len(won) == 1 and table.manifest()["last"] == won[0]
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from stratalith import storage
+
+    assert [storage.needs_shared(m) for m in ("local", "local[8]", "local[*]", "local-cluster[2,1,1024]", "spark://h:7077", "yarn", "k8s://h")] == [False] * 3 + [True] * 4
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn"})
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
+
+
 def test_empty_tables(spark):
     out = cdc.rebuild_ledger(spark.createDataFrame([], SNAPSHOT), spark.createDataFrame([], LINE))
     assert out.count() == 0
@@ -93,3 +145,17 @@ def test_ledger(spark, tmp_path):
     ledger.drop_scope("session", "s1")
     assert ledger.state().count() == 0
     assert MUTATION.names[0] == "ledger_version"
+
+
+def test_calls_keep_their_order(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    shape = "scope_kind string, scope_id string, collection string, op string, id string, value_json string, position bigint"
+    line = lambda op, id, n: ("session", "s", "c", op, id, "{}", n)
+    assert ledger.mutate(spark.createDataFrame([line("upsert", "x", 5), line("delete", "x", 7), line("delete", "y", 5), line("upsert", "y", 6)], shape)) == 3
+    assert rows(ledger.state(), "id") == [("y",)]
+    with pytest.raises(ValueError):
+        ledger.mutate(spark.createDataFrame([line("upsert", "x", 0), line("delete", "x", 0)], shape).drop("position"))
+    with pytest.raises(ValueError):
+        ledger.mutate(spark.createDataFrame([line("upsert", "x", None)], shape))
+    assert Ledger(spark, f"file://{tmp_path}/ledger").last_sequence() == 3
+    assert ledger.mutate(spark.createDataFrame([], shape)) == 3
