@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalith.llm import conversations, mixing, neardup, neighbours, packing, spans, splitting
 
@@ -15,6 +16,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(_table(spark, sf_dir, "session_events")).select("session_id", "msg_no", "seq")
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply links of the kept sessions, and the thread of each message."""
+    return conversations.conversations(_table(spark, sf_dir, "session_events")).select("session_id", "seq", "parent_seq", "thread", F.round("link_score", 4).alias("link_score"))
+
+
 #: Problem 3 is stated for runs of three words and a similarity of at least 0.6.
 P3 = {"threshold": 0.6, "n": 3}
 
@@ -76,7 +82,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p5_found": p5_found, "p5_pieces": p5_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
 P2_SQL = """
 WITH distinct_rows AS (
   SELECT * EXCLUDE (pick) FROM (
@@ -119,6 +125,24 @@ WITH distinct_rows AS (
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS msg_no, seq FROM messages ANTI JOIN broken USING (session_id)
 """
 
+#: Every earlier message of the window as a candidate, scored without any index.
+P2_LINKS_SQL = P2_SQL.replace("WITH distinct_rows", "WITH RECURSIVE distinct_rows", 1).replace("SELECT session_id, seq, turn, role, content,", "SELECT session_id, seq, turn, role, content, event_time,", 1).rsplit("SELECT session_id, row_number()", 1)[0] + """,
+kept AS (SELECT * FROM messages ANTI JOIN broken USING (session_id)),
+clocks AS (SELECT session_id, seq, max(epoch_us(event_time)) OVER (PARTITION BY session_id ORDER BY seq) AS clock FROM kinds),
+words AS (SELECT DISTINCT session_id, win, seq, unnest(regexp_extract_all(regexp_replace(lower(coalesce(body, '')), '([\\x{3400}-\\x{9fff}])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')) AS word FROM kept),
+rare AS (SELECT session_id, win, word FROM words GROUP BY ALL HAVING count(*) <= 16),
+bags AS (SELECT session_id, win, seq, list(word) AS bag FROM words SEMI JOIN rare USING (session_id, win, word) GROUP BY ALL),
+facts AS (SELECT k.session_id, k.win, k.seq, kind, call_id, clock, coalesce(bag, []) AS bag FROM kept k JOIN clocks USING (session_id, seq) LEFT JOIN bags b ON b.session_id = k.session_id AND b.win = k.win AND b.seq = k.seq),
+options AS (SELECT c.session_id, c.seq, p.seq AS parent_seq, round(0.5 * pow(0.5, least(coalesce(c.clock - p.clock, 0) / 1e6 / 1800, 60)) + CASE WHEN c.call_id = p.call_id THEN 2.0 ELSE 0.0 END
+    + CASE WHEN (c.kind, p.kind) IN (('assistant/message', 'user/message'), ('assistant/message', 'tool/result'), ('tool/result', 'assistant/message'), ('user/message', 'assistant/message')) THEN 0.4 ELSE 0.0 END
+    + CASE WHEN len(c.bag) > 0 AND len(p.bag) > 0 THEN 0.8 * len(list_intersect(c.bag, p.bag)) / least(len(c.bag), len(p.bag)) ELSE 0.0 END, 9) AS score
+  FROM facts c JOIN facts p ON c.session_id = p.session_id AND c.win = p.win AND p.seq < c.seq),
+chosen AS (SELECT session_id, seq, max(ROW(score, parent_seq)) AS b FROM options WHERE score >= 0.7 GROUP BY ALL),
+links AS (SELECT f.session_id, f.seq, b[2] AS parent_seq, b[1] AS link_score FROM facts f LEFT JOIN chosen USING (session_id, seq)),
+trees AS (SELECT session_id, seq, seq AS thread FROM links WHERE parent_seq IS NULL UNION ALL SELECT l.session_id, l.seq, t.thread FROM links l JOIN trees t ON l.session_id = t.session_id AND l.parent_seq = t.seq)
+SELECT session_id, seq, CAST(parent_seq AS BIGINT) AS parent_seq, thread, CAST(round(link_score, 4) AS DOUBLE) AS link_score FROM links JOIN trees USING (session_id, seq)
+"""
+
 P3_SQL = """
 WITH texts AS (SELECT parent_no, max(document_id) AS d, regexp_extract_all(lower(max(core_text)), '[\\p{L}\\p{N}]+') AS w FROM parent_chunks GROUP BY parent_no),
 runs AS (SELECT DISTINCT parent_no, d, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM texts),
@@ -144,6 +168,7 @@ SQL: dict[str, str] = {
     "p8_share": P8_SQL + """SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS shared_words, coalesce(n, 0) / greatest(coalesce(len(w), 0), 1) AS shared_share
 FROM texts LEFT JOIN (SELECT doc_id, sum(last_word - first_word + 1) AS n FROM spans GROUP BY doc_id) USING (doc_id)""",
     "p2_found": P2_SQL,
+    "p2_links": P2_LINKS_SQL,
     "p5_found": """
 SELECT DISTINCT parent_no FROM parent_chunks
 WHERE length(regexp_replace(core_text, '[\\x00-\\x7F]', '', 'g'))
