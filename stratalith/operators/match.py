@@ -10,9 +10,11 @@ Tables, all keyed so that a scope's data meets by equi-joins:
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import cached_property
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from stratalith import storage
 from stratalith.config import Config
 from stratalith.functions import text, vector
 
-SALTS = 8
+#: Queries and rows that meet in one block.
+QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+EMPTY = pa.list_(pa.string())
 
 
 def subqueries(queries: DataFrame, split: bool = True, config: Config = Config()) -> DataFrame:
@@ -31,34 +35,153 @@ def subqueries(queries: DataFrame, split: bool = True, config: Config = Config()
     return out.filter("sub_text <> ''").drop("parts", "text")
 
 
+def in_blocks(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, by: str | None = None):
+    """Both sides with ``qb, rb``, so that every query meets every row of its ``by`` once: each side is cut into blocks by
+    the hash of its key, as many as its rows ask for, and goes to all blocks of the other."""
+    on = [by] if by else []
+    if by:
+        many = lambda df, size, name: df.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+        counts = storage.materialize(many(queries, QUERY_BLOCK, "nq").join(many(rows, ROW_BLOCK, "nr"), by), "blocks")
+        place = lambda df: df.join(counts, by)
+    else:
+        sizes = {"nq": max(1, -(-queries.count() // QUERY_BLOCK)), "nr": max(1, -(-rows.count() // ROW_BLOCK))}
+        place = lambda df: df.withColumns({n: F.lit(v) for n, v in sizes.items()})
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = place(queries).withColumn("qb", mine(query_key, "nq")).withColumn("rb", every("nr")).drop("nq", "nr")
+    r = place(rows).withColumn("rb", mine(row_key, "nr")).withColumn("qb", every("nq")).drop("nq", "nr")
+    keys = [*on, "qb", "rb"]
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys))
+
+
+def first_by(keys: tuple[np.ndarray, ...], k: int) -> np.ndarray:
+    """Positions of the ``k`` first by the keys, the last one first (as lexsort)."""
+    lead = keys[-1]
+    if len(lead) <= k:
+        return np.lexsort(keys)
+    at = np.flatnonzero(lead <= np.partition(lead, k - 1)[k - 1])
+    return at[np.lexsort([x[at] for x in keys])[:k]]
+
+
+class Postings:
+    """Rows of a block by token, and their texts as one, for queries that come one after another."""
+
+    def __init__(self, queries: pa.Table, rows: pa.Table):
+        tokens = [t.column("tokens").combine_chunks().fill_null(pa.scalar([], EMPTY)) for t in (queries, rows)]
+        code = pa.concat_arrays([t.flatten() for t in tokens]).dictionary_encode()
+        ids, split = code.indices.to_numpy(), len(tokens[0].flatten())
+        self.names, self.n = code.dictionary, len(rows)
+        sizes = [t.value_lengths().to_numpy() for t in tokens]
+        self.of_query = np.split(ids[:split], np.cumsum(sizes[0])[:-1])
+        self.of_row = np.split(ids[split:], np.cumsum(sizes[1])[:-1])
+        order = np.argsort(ids[split:], kind="stable")
+        self.row = np.repeat(np.arange(self.n), sizes[1])[order]
+        self.edge = np.searchsorted(ids[split:][order], np.arange(len(self.names) + 1))
+        self.strong = np.split(queries.column("strong").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool), np.cumsum(sizes[0])[:-1])
+        texts = rows.column("norm").to_pylist()
+        self.phrases, self.texts, self.whole = queries.column("norm").to_pylist(), texts, "\0".join(texts)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).tolist()
+
+    def hits(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: tokens shared with the i-th query, strong ones among them, and whether the query stands in its text."""
+        at = [self.row[self.edge[t] : self.edge[t + 1]] for t in self.of_query[i]]
+        count = lambda parts: np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
+        phrase, words = np.zeros(self.n, bool), self.phrases[i]
+        if len(words) >= 3 and "\0" in words:
+            phrase[:] = [words in t for t in self.texts]
+        elif len(words) >= 3:
+            found = self.whole.find(words)
+            while found >= 0:
+                row = bisect_right(self.starts, found) - 1
+                phrase[row] = True
+                found = self.whole.find(words, self.starts[row + 1])
+        return count(at), count([a for a, strong in zip(at, self.strong[i]) if strong]), phrase
+
+    def shared(self, i: int, row: int) -> list[str]:
+        return sorted(self.names.take(pa.array(np.intersect1d(self.of_query[i], self.of_row[row]))).to_pylist())
+
+
+def lexical_scores(phrase: np.ndarray, coverage: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """The steps of :func:`text.lexical_score` for arrays."""
+    return np.select([phrase, coverage >= 0.75, strong >= 2, coverage >= 0.5, coverage >= 0.25], [1.0, 0.85, 0.80, 0.70, 0.35], 0.0)
+
+
+def cosines(queries: pa.Table, rows: pa.Table) -> np.ndarray:
+    """Cosines, at least 0, of vectors of one model and length with usable norms; 0 for others."""
+    return np.maximum(np.nan_to_num(_signed(queries, rows)), 0.0)
+
+
+def _signed(queries: pa.Table, rows: pa.Table) -> np.ndarray:
+    """Cosines rounded to 12 digits; not a number where there is none."""
+    out = np.full((len(queries), len(rows)), np.nan)
+
+    def sides(t: pa.Table) -> dict:
+        v = t.column("vector").combine_chunks()
+        sizes, models, by = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), t.column("model").to_pylist(), {}
+        for i, key in enumerate(zip(models, sizes)):
+            if key[0] is not None and key[1]:
+                by.setdefault(key, []).append(i)
+        found = {}
+        for (model, size), at in by.items():
+            x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+            norm = np.sqrt((x * x).sum(axis=1))
+            ok = np.isfinite(norm) & (norm > 0)
+            found[model, size] = np.array(at)[ok], x[ok] / norm[ok, None]
+        return found
+
+    left, right = sides(queries), sides(rows)
+    for key in left.keys() & right.keys():
+        out[np.ix_(left[key][0], right[key][0])] = np.round(left[key][1] @ right[key][1].T, 12)
+    return out
+
+
 def scored(subs: DataFrame, children: DataFrame, config: Config = Config()) -> DataFrame:
-    """Every sub-query against every child of its scope, with a score above 0. Tokens and norms are computed once a row.
+    """Of every sub-query those children of its scope, with a score above 0, that a later stage can take.
 
-    Children are spread over ``SALTS`` parts of their scope, so a scope with a third of all rows is no hot key.
+    Every sub-query is scored against every child of its scope, in blocks, but a block gives out only the rows that are
+    among its first by score, its first anchored ones, or the best of its first parents in the order of the guarantee.
+    What the later stages take from all rows is among these, and their number doesn't grow with the scope.
     """
-    q = subs.select("query_id", "sub", "scope", text.normalize(F.col("sub_text")).alias("sub_norm"), text.informative_tokens(F.col("sub_text"), config.stopwords).alias("sub_tokens"), F.col("vector").cast("array<double>").alias("qv"), F.col("vector_model").alias("qm"))
-    q = q.withColumn("sub_strong", F.filter("sub_tokens", text.is_strong)).withColumn("qn", vector.norm(F.col("qv")))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    c = children.select("scope", "parent_id", "child_id", text.normalize(F.col("text")).alias("child_norm"), text.lexical_tokens(F.col("text")).alias("child_tokens"), F.col("vector").cast("array<double>").alias("cv"), F.col("vector_model").alias("cm"), vector.norm(F.col("vector")).alias("cn"))
-    c = c.withColumn("salt", F.pmod(F.xxhash64("child_id"), F.lit(SALTS)).cast("int")).repartition("scope", "salt")
-    same = (F.col("qm") == F.col("cm")) & (F.size("qv") == F.size("cv")) & (F.col("qn") * F.col("cn") > 0) & (F.col("qn") * F.col("cn") < float("inf"))
-    rows = q.join(c, ["scope", "salt"]).select(
-        "query_id", "sub", "scope", "parent_id", "child_id", "sub_tokens", "sub_strong",
-        F.sort_array(F.array_intersect("sub_tokens", "child_tokens")).alias("tokens"),
-        ((F.length("sub_norm") >= 3) & F.contains("child_norm", F.col("sub_norm"))).alias("phrase"),
-        F.when(same, F.greatest(F.lit(0.0), vector.dot(F.col("qv"), F.col("cv")) / (F.col("qn") * F.col("cn")))).otherwise(0.0).alias("dense"),
-    )
-    rows = rows.withColumn("coverage", F.when(F.size("sub_tokens") > 0, F.size("tokens") / F.size("sub_tokens")).otherwise(0.0))
-    rows = rows.withColumn("n_strong", F.size(F.array_intersect("tokens", "sub_strong")))
-    rows = rows.withColumn("lexical", text.lexical_score(F.col("phrase"), F.col("coverage"), F.col("n_strong")))
-    rows = rows.withColumn("score", F.greatest("lexical", "dense")).withColumn("anchor", F.col("phrase") | (F.col("n_strong") >= 1))
-    # The row number keeps the filter above the columns that it reads: pushed below, it would compute them all again.
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).filter("score > 0 and row >= 0")
-    return rows.select("query_id", "sub", "scope", "parent_id", "child_id", "tokens", "coverage", "n_strong", "phrase", "lexical", "dense", "score", "anchor")
+    q = subs.select("query_id", "sub", "scope", text.normalize(F.col("sub_text")).alias("norm"), text.informative_tokens(F.col("sub_text"), config.stopwords).alias("tokens"), F.col("vector").cast("array<double>").alias("vector"), F.col("vector_model").alias("model"))
+    q = q.withColumn("strong", F.transform("tokens", text.is_strong))
+    c = children.select("scope", "parent_id", "child_id", text.normalize(F.col("text")).alias("norm"), text.lexical_tokens(F.col("text")).alias("tokens"), F.col("vector").cast("array<double>").alias("vector"), F.col("vector_model").alias("model"))
+    few, parents = max(2, config.child_top_k), config.child_top_k + config.lexical_guarantee
+    kinds = dict(subs.dtypes)
+    shape = f"query_id {kinds['query_id']}, sub int, scope {kinds['scope']}, parent_id string, child_id string, tokens array<string>, coverage double, n_strong int, phrase boolean, lexical double, dense double, score double, anchor boolean"
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in shape.split(", ")]
+        at, kept, measures = [], [], []
+        if len(left) and len(right):
+            postings, dense = Postings(left, right), cosines(left, right)
+            by_id = np.argsort(np.argsort(np.array(right.column("child_id").to_pylist(), object), kind="stable"))
+            parent = right.column("parent_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            for i in range(len(left)):
+                matched, strong, phrase = postings.hits(i)
+                coverage = matched / max(1, len(postings.of_query[i]))
+                lexical = lexical_scores(phrase, coverage, strong)
+                score = np.maximum(lexical, dense[i])
+                some = np.flatnonzero(score > 0)
+                anchored = some[(phrase | (strong >= 1))[some]]
+                order = lambda r: (by_id[r], -dense[i, r], -score[r])
+                by_parent = anchored[np.lexsort((by_id[anchored], -score[anchored], -dense[i, anchored], -strong[anchored], -coverage[anchored], ~phrase[anchored]))]
+                best = np.sort(np.unique(parent[by_parent], return_index=True)[1])[:parents]
+                take = np.unique(np.concatenate([some[first_by(order(some), few)], anchored[first_by(order(anchored), few)], by_parent[best]]))
+                at.append(np.full(len(take), i))
+                kept.append(take)
+                measures.append((coverage[take], strong[take], phrase[take], lexical[take], dense[i, take], score[take]))
+        i, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, kept))
+        m = [np.concatenate([x[j] for x in measures]) if measures else np.zeros(0) for j in range(6)]
+        tokens = pa.array([postings.shared(a, b) for a, b in zip(i, r)], EMPTY)
+        columns = [left.column("query_id").take(pa.array(i)), left.column("sub").take(pa.array(i)).cast(pa.int32()), left.column("scope").take(pa.array(i)), right.column("parent_id").take(pa.array(r)), right.column("child_id").take(pa.array(r)), tokens]
+        columns += [pa.array(m[0]), pa.array(m[1].astype(np.int32)), pa.array(m[2].astype(bool)), *(pa.array(x) for x in m[3:]), pa.array(m[2].astype(bool) | (m[1] >= 1))]
+        return pa.table(dict(zip(names, columns)))
+
+    return in_blocks(q.withColumn("asked", F.xxhash64("query_id", "sub")), c, "asked", "child_id", "scope").applyInArrow(work, shape)
 
 
 def ranked(rows: DataFrame, parents: DataFrame, config: Config = Config()) -> DataFrame:
-    """Rank within the sub-query, margins, and the strength with which a row covers it."""
+    """Rank among the sub-query's rows, margins, and the strength with which a row covers it."""
     w = Window.partitionBy("query_id", "sub").orderBy(F.desc("score"), F.desc("dense"), "child_id")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gate = parents.select("scope", "parent_id", "eligible", "source_valid")
@@ -129,51 +252,73 @@ def aggregated(hits: DataFrame, parents: DataFrame, config: Config = Config()) -
     return rows.filter(F.col("parent_rank") <= config.parent_eligible_limit)
 
 
-def choose(rows: list[dict], targets: list[int], limit: int) -> list[tuple[dict, float]]:
-    """Greedy choice of parents (in order of rank) that cover the targets with little redundancy."""
-
-    def redundancy(a: set, b: set) -> float:
-        return len(a & b) / min(len(a), len(b)) if a and b else 0.0
-
-    whole = not targets
-    least = limit if whole else min(limit, max(2, len(targets)))
-    left, taken, covered, places = list(rows), [], set(), set()
-    while left and len(taken) < limit and (whole or len(covered) < len(targets) or len(taken) < least):
-        best, best_value = None, 0.0
-        for r in left:
-            new = [c for c in r["cover"] if c["sub"] in targets and c["sub"] not in covered]
-            if not whole and not new and len(taken) >= least:
-                continue
-            value = sum((2 if c["tier"] == "strong" else 0.65) * max(0.20, c["strength"]) for c in new)
-            value = (1.0 if not taken else 0.30) if whole else value + (0 if new else 0.25)
-            value += r["best_dense"] + min(0.45, 0.15 * r["anchors"]) + (0 if r["place"] in places else 0.15)
-            value -= 0.75 * max((redundancy(r["view_tokens"], t["view_tokens"]) for t, _ in taken), default=0.0)
-            if value > best_value and (best is None or value > best_value):
-                best, best_value = r, value
-        if best is None:
+def choose(gain: np.ndarray, base: np.ndarray, place: np.ndarray, alike: np.ndarray, limit: int) -> list[tuple[int, float]]:
+    """Parents (by position, in order of rank) that cover the targets with little redundancy, and their values.
+
+    ``gain`` is what a parent (row) adds if a target (column) is still open, ``alike`` the share of tokens that two parents
+    have in common. Without targets every parent counts, the first one more.
+    """
+    n, targets = gain.shape
+    least = min(limit, max(2, targets)) if targets else limit
+    free, open_targets, near = np.ones(n, bool), np.ones(targets, bool), np.zeros(n)
+    picks: list[tuple[int, float]] = []
+    while free.any() and len(picks) < limit and (len(picks) < least or open_targets.any()):
+        fresh = gain[:, open_targets].sum(axis=1)
+        able = free & ((fresh > 0) | (len(picks) < least))
+        lead = np.where(fresh > 0, fresh, 0.25) if targets else np.full(n, 0.30 if picks else 1.0)
+        seen = np.isin(place, place[[p for p, _ in picks]]) if picks else np.zeros(n, bool)
+        value = np.where(able, lead + base + 0.15 * ~seen - 0.75 * near, 0.0)
+        best = int(value.argmax())
+        if value[best] <= 0:
             break
-        taken.append((best, best_value))
-        covered |= {c["sub"] for c in best["cover"]}
-        places.add(best["place"])
-        left.remove(best)
-    return taken
+        picks.append((best, float(value[best])))
+        free[best], near = False, np.maximum(near, alike[best])
+        open_targets &= gain[best] <= 0
+    return picks
 
 
 def selected(parents: DataFrame, subs: DataFrame, config: Config = Config()) -> DataFrame:
-    """``query_id, pick, parent_id, value`` from the ranked parents; a group holds at most ``parent_eligible_limit`` rows."""
+    """``query_id, pick, parent_id, value`` from the ranked parents.
+
+    A query is one row with its parents, at most ``parent_eligible_limit``; many queries make one Arrow batch. The tokens
+    of a parent's view are made once, however many queries rank it.
+    """
     targets = subs.groupBy("query_id").agg(F.array_sort(F.collect_set(F.when(F.col("sub") > 0, F.col("sub")))).alias("targets"))
-    rows = parents.filter("qualified").join(targets, "query_id")
-    rows = rows.select("query_id", "parent_id", "parent_rank", "cover", "best_dense", "anchors", F.concat_ws(":", F.coalesce("document_id", F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit(""))).alias("place"), text.informative_tokens(F.col("view"), config.stopwords).alias("view_tokens"), "targets")
+    fit = parents.filter("qualified")
+    views = fit.groupBy("scope", "parent_id").agg(F.max("view").alias("view"))
+    views = views.select("scope", "parent_id", F.array_sort(F.transform(text.informative_tokens(F.col("view"), config.stopwords), lambda t: F.xxhash64(t))).alias("view_tokens"))
+    place = F.xxhash64(F.coalesce("document_id", F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    cover = F.transform("cover", lambda c: F.struct(c["sub"].alias("sub"), (F.when(c["tier"] == "strong", 2.0).otherwise(0.65) * F.greatest(F.lit(0.20), c["strength"])).alias("gain")))
+    base = F.col("best_dense") + F.least(F.lit(0.45), 0.15 * F.col("anchors"))
+    rows = fit.join(views, ["scope", "parent_id"]).select("query_id", F.struct("parent_rank", "parent_id", base.alias("base"), place.alias("place"), cover.alias("cover"), "view_tokens").alias("p"))
+    rows = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("p")).alias("parents")).join(targets, "query_id").select("query_id", "parents", "targets")
     limit = config.parent_select_limit
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("parent_rank")
-        table = [r | {"view_tokens": set(r["view_tokens"]), "cover": list(r["cover"])} for r in pdf.to_dict("records")]
-        taken = choose(table, list(pdf.targets.iloc[0]), limit)
-        return pd.DataFrame([(r["query_id"], i, r["parent_id"], v) for i, (r, v) in enumerate(taken)], columns=["query_id", "pick", "parent_id", "value"])
-
-    kind = dict(rows.dtypes)["query_id"]
-    return rows.groupBy("query_id").applyInPandas(pick, f"query_id {kind}, pick int, parent_id string, value double")
+    def shares(tokens: list) -> np.ndarray:
+        out = np.zeros((len(tokens), len(tokens)))
+        for i, a in enumerate(tokens):
+            for j, b in enumerate(tokens[:i]):
+                if a and b:
+                    out[i, j] = out[j, i] = len(a & b) / min(len(a), len(b))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            at, out = [], []
+            for i, (found, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                column = {t: j for j, t in enumerate(wanted)}
+                gain = np.zeros((len(found), len(wanted)))
+                for r, p in enumerate(found):
+                    for c in p["cover"]:
+                        if c["sub"] in column:
+                            gain[r, column[c["sub"]]] += c["gain"]
+                picks = choose(gain, np.array([p["base"] for p in found]), np.array([p["place"] for p in found]), shares([set(p["view_tokens"]) for p in found]), limit)
+                at += [i] * len(picks)
+                out += [(n, found[p]["parent_id"], v) for n, (p, v) in enumerate(picks)]
+            pick, parent, value = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pick, pa.int32()), pa.array(parent, pa.string()), pa.array(value, pa.float64())], names=["query_id", "pick", "parent_id", "value"])
+
+    return rows.mapInArrow(run, f"query_id {dict(rows.dtypes)['query_id']}, pick int, parent_id string, value double")
 
 
 def result(queries: DataFrame, subs: DataFrame, parents: DataFrame, picks: DataFrame) -> DataFrame:
@@ -210,7 +355,8 @@ class Retrieval:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return storage.materialize(ranked(scored(self.subs, self.children, self.config), self.candidates, self.config), "rows")
+        known = self.children.join(self.candidates.select("scope", "parent_id").distinct(), ["scope", "parent_id"], "left_semi")
+        return storage.materialize(ranked(scored(self.subs, known, self.config), self.candidates, self.config), "rows")
 
     @cached_property
     def admitted(self) -> DataFrame:
@@ -248,11 +394,36 @@ def with_fallback(queries: DataFrame, sensory: tuple[DataFrame, DataFrame], bank
 
 
 def lexical_recall(queries: DataFrame, candidates: DataFrame, config: Config = Config(), k: int | None = None) -> DataFrame:
-    """Lexical score of every candidate that shares an informative token with a query, by an inverted index.
+    """Lexical score of every candidate that shares an informative token with a query.
 
-    ``queries`` has ``query_id, text``, ``candidates`` has ``candidate_id, text``. Each text is cut into tokens once; the
-    join is on tokens and the counts are summed before anything else is joined. With ``k`` the best k of each query.
+    ``queries`` has ``query_id, text``, ``candidates`` has ``candidate_id, text`` (bigint ids). With ``k`` the best k of each
+    query: queries meet candidates in blocks, which give out k rows each. Else all, by an inverted index: each text is cut
+    into tokens once, the join is on tokens, and the counts are summed before anything else is joined.
     """
+    measures = "matched bigint, n_strong bigint, coverage double, phrase boolean, score double"
+    if k is not None:
+        q = queries.select("query_id", text.normalize(F.col("text")).alias("norm"), text.informative_tokens(F.col("text"), config.stopwords).alias("tokens")).withColumn("strong", F.transform("tokens", text.is_strong))
+        c = candidates.select("candidate_id", text.normalize(F.col("text")).alias("norm"), text.lexical_tokens(F.col("text")).alias("tokens"))
+
+        def work(left: pa.Table, right: pa.Table) -> pa.Table:
+            at, kept, found = [], [], []
+            if len(left) and len(right):
+                postings, ids = Postings(left, right), right.column("candidate_id").to_numpy()
+                for i in range(len(left)):
+                    matched, strong, phrase = postings.hits(i)
+                    coverage = matched / max(1, len(postings.of_query[i]))
+                    score = lexical_scores(phrase, coverage, strong)
+                    some = np.flatnonzero((matched > 0) & (score > 0))
+                    take = some[first_by((ids[some], -coverage[some], -score[some]), k)]
+                    at.append(np.full(len(take), i)), kept.append(take), found.append((matched[take], strong[take], coverage[take], phrase[take], score[take]))
+            i, r = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (at, kept))
+            m = [np.concatenate([x[j] for x in found]) if found else np.zeros(0) for j in range(5)]
+            columns = [left.column("query_id").take(i), right.column("candidate_id").take(r), *(pa.array(x.astype(t)) for x, t in zip(m, (np.int64, np.int64, float, bool, float)))]
+            return pa.table(dict(zip(["query_id", "candidate_id", *(x.split()[0] for x in measures.split(", "))], columns)))
+
+        best = in_blocks(q, c, "query_id", "candidate_id").applyInArrow(work, f"query_id bigint, candidate_id bigint, {measures}")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("coverage"), "candidate_id")
+        return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     q = queries.select("query_id", text.informative_tokens(F.col("text"), config.stopwords).alias("t"))
     sizes = q.select("query_id", F.size("t").alias("n_tokens"))
     c = candidates.select("candidate_id", F.explode(text.lexical_tokens(F.col("text"))).alias("token"))
@@ -261,11 +432,7 @@ def lexical_recall(queries: DataFrame, candidates: DataFrame, config: Config = C
     rows = rows.join(queries.select("query_id", text.normalize(F.col("text")).alias("qn")), "query_id").join(candidates.select("candidate_id", text.normalize(F.col("text")).alias("cn")), "candidate_id")
     rows = rows.withColumn("phrase", (F.length("qn") >= 3) & F.contains("cn", F.col("qn")))
     rows = rows.withColumn("score", text.lexical_score(F.col("phrase"), F.col("coverage"), F.col("n_strong"))).filter("score > 0")
-    rows = rows.select("query_id", "candidate_id", "matched", "n_strong", "coverage", "phrase", "score")
-    if k is None:
-        return rows
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("coverage"), "candidate_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.select("query_id", "candidate_id", "matched", "n_strong", "coverage", "phrase", "score")
 
 
 def validated(refs: DataFrame, sources: DataFrame, parents: DataFrame) -> DataFrame:
@@ -295,40 +462,25 @@ def eligibility(core: Column, n_refs: Column, quality: Column, conflict: Column,
     )
 
 
-def dense_top(queries: DataFrame, rows: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
-    """Exact top k by cosine: both sides are cut into blocks and every pair of blocks is one matrix product.
+def dense_top(queries: DataFrame, rows: DataFrame, k: int = 8) -> DataFrame:
+    """Exact top k by cosine: queries meet rows in blocks, each one matrix product that gives out k rows of each query.
 
-    ``queries`` has ``query_id, vector``, ``rows`` has ``row_id, vector`` (bigint ids, equal lengths). Partial results of
-    k rows per query and block are what is shuffled last. Zero and null vectors are left out.
+    ``queries`` has ``query_id, vector``, ``rows`` has ``row_id, vector`` (bigint ids). Vectors of another length, zero and
+    null vectors have no cosine.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def cut(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-        df = df.select(F.col(key).cast("bigint").alias(key), "vector").filter(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0))
-        n = max(1, -(-df.count() // block))
-        return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
-
-    q, nq = cut(queries, "query_id", "qb")
-    r, nr = cut(rows, "row_id", "rb")
-    q = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def matrix(table, key):
-        ids = table.column(key).to_numpy()
-        x = np.stack([np.asarray(v, np.float64) for v in table.column("vector").to_pylist()]) if len(ids) else np.zeros((0, 1))
-        return ids, x / np.linalg.norm(x, axis=1, keepdims=True) if len(ids) else x
-
-    def work(left, right):
-        qi, q = matrix(left, "query_id")
-        ri, x = matrix(right, "row_id")
-        if not len(qi) or not len(ri):
-            return pa.table({"query_id": pa.array([], pa.int64()), "row_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        s = q @ x.T
-        order = np.lexsort((np.broadcast_to(ri, s.shape), -s), axis=1)[:, :k]
-        at = np.arange(len(qi))[:, None]
-        return pa.table({"query_id": np.repeat(qi, order.shape[1]), "row_id": ri[order].reshape(-1), "cosine": s[at, order].reshape(-1)})
-
-    part = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(work, "query_id bigint, row_id bigint, cosine double")
+    sides = lambda df, key: df.select(F.col(key).cast("bigint").alias(key), F.col("vector").cast("array<double>").alias("vector"), F.lit("").alias("model")).filter(F.exists("vector", lambda x: x != 0))
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, kept, far = [], [], []
+        if len(left) and len(right):
+            ids, s = right.column("row_id").to_numpy(), _signed(left, right)
+            for i in range(len(left)):
+                some = np.flatnonzero(np.isfinite(s[i]))
+                take = some[first_by((ids[some], -s[i, some]), k)]
+                at.append(np.full(len(take), i)), kept.append(take), far.append(s[i, take])
+        i, r = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (at, kept))
+        return pa.table({"query_id": left.column("query_id").take(i), "row_id": right.column("row_id").take(r), "cosine": pa.array(np.concatenate(far) if far else np.zeros(0))})
+
+    part = in_blocks(sides(queries, "query_id"), sides(rows, "row_id"), "query_id", "row_id").applyInArrow(work, "query_id bigint, row_id bigint, cosine double")
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "row_id")
     return part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

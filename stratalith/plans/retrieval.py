@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import text, vector
@@ -35,8 +35,6 @@ def child_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_window():
-    from pyspark.sql import Window
-
     return Window.partitionBy("parent_id").orderBy("child_no")
 
 
@@ -82,7 +80,8 @@ def _stages(spark: SparkSession, d: str, split: bool) -> match.Retrieval:
 
 
 def hybrid_admission(spark: SparkSession, d: str) -> DataFrame:
-    return _stages(spark, d, False).admitted.select("query_id", "parent_id", "child_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"), F.round("strength", 6).alias("strength"), "tier", "reason")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1
+    return _stages(spark, d, False).admitted.select("query_id", "parent_id", "child_id", place.cast("bigint").alias("rank"), F.round("score", 6).alias("score"), F.round("strength", 6).alias("strength"), "tier", "reason")
 
 
 def lexical_guarantee(spark: SparkSession, d: str) -> DataFrame:
@@ -100,12 +99,12 @@ def parent_rank_top16(spark: SparkSession, d: str) -> DataFrame:
 
 STAGES_SQL = f"""
 WITH p AS ({t.SQL_PARENTS}), ch AS ({t.SQL_CHILDREN}),
-c AS (SELECT workspace_id AS scope, parent_id, child_id, child_no, text, vector, vector_model, {t.sql_norm("text")} AS cn, {t.sql_tokens("text")} AS ct,
-    trim(core_text) <> '' AND coalesce(evidence_quality, 0) >= 0.8 AND coalesce(temporal_current, true) AS eligible, updated_at
-  FROM ch JOIN (SELECT parent_id, workspace_id, core_text, evidence_quality, temporal_current, updated_at FROM p WHERE workspace_id IS NOT NULL) USING (parent_id)),
+c AS (SELECT scope, parent_id, child_id, child_no, text, vector, vector_model, eligible, updated_at, {t.sql_norm("text")} AS cn, {t.sql_tokens("text")} AS ct FROM (
+  SELECT *, workspace_id AS scope, {t.sql_slice("core_text")} AS text, trim(core_text) <> '' AND coalesce(evidence_quality, 0) >= 0.8 AND coalesce(temporal_current, true) AS eligible
+  FROM ch JOIN (SELECT parent_id, workspace_id, core_text, evidence_quality, temporal_current, updated_at FROM p WHERE workspace_id IS NOT NULL) USING (parent_id))),
 q AS (SELECT child_no AS query_id, scope, cn AS qn, {t.sql_informative("ct")} AS qt, vector AS qv, vector_model AS qm FROM c WHERE child_no % 20 = 0 AND text IS NOT NULL AND cn <> ''),
 pairs AS (SELECT query_id, parent_id, child_id, eligible, updated_at, len(qt) AS n, list_intersect(qt, ct) AS matched, length(qn) >= 3 AND contains(cn, qn) AS phrase,
-    coalesce(CASE WHEN qm = vector_model THEN greatest(0.0, {t.sql_cosine("qv", "vector")}) ELSE 0.0 END, 0.0) AS dense FROM q JOIN c USING (scope)),
+    coalesce(CASE WHEN qm = vector_model THEN round(greatest(0.0, {t.sql_cosine("qv", "vector")}), 12) ELSE 0.0 END, 0.0) AS dense FROM q JOIN c USING (scope)),
 measured AS (SELECT *, CASE WHEN n > 0 THEN len(matched) / n ELSE 0.0 END AS coverage, len(list_filter(matched, lambda m: {t.sql_strong("m")})) AS n_strong FROM pairs),
 lexed AS (SELECT *, {t.SQL_SCORE} AS lexical, phrase OR n_strong >= 1 AS anchor FROM measured),
 scored AS (SELECT *, greatest(lexical, dense) AS score FROM lexed WHERE greatest(lexical, dense) > 0),
@@ -197,9 +196,9 @@ SQL = {
     "feature_hash_slots": rf"""
 SELECT parent_no, h % 64 AS slot, CAST(sum(CASE WHEN h & 2147483648 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM (
   SELECT parent_no, {FNV} AS h FROM (
-    SELECT parent_no, unnest(list_concat(regexp_extract_all(lower(document_title), '[a-z][\w-]*|\d+(?:\.\d+)?'),
-      flatten(list_transform(regexp_extract_all(document_title, {t.RUNS}), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END)))) AS tok
-    FROM ({t.SQL_PARENTS}) WHERE document_title IS NOT NULL)) GROUP BY ALL""",
+    SELECT parent_no, unnest(list_concat(regexp_extract_all(lower(core_text), '[a-z][\w-]*|\d+(?:\.\d+)?'),
+      flatten(list_transform(regexp_extract_all(core_text, {t.RUNS}), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END)))) AS tok
+    FROM ({t.SQL_PARENTS}) WHERE core_text IS NOT NULL)) GROUP BY ALL""",
     "child_cosine": f"""
 WITH ch AS ({t.SQL_CHILDREN}), n AS (SELECT *, lead(child_no) OVER w AS next_no, lead(vector) OVER w AS nv, lead(vector_model) OVER w AS nm FROM ch WINDOW w AS (PARTITION BY parent_id ORDER BY child_no))
 SELECT child_no, next_no, round(coalesce(CASE WHEN vector_model = nm THEN greatest(0.0, {t.sql_cosine("vector", "nv")}) ELSE 0.0 END, 0.0), 6) AS cosine FROM n WHERE next_no IS NOT NULL""",
@@ -208,7 +207,7 @@ SELECT child_no, next_no, round(coalesce(CASE WHEN vector_model = nm THEN greate
     "dense_topk": f"""
 SELECT q.vec_id AS query_id, r.vec_id AS row_id, round({t.sql_cosine("q.embedding", "r.embedding")}, 6) AS cosine FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {t.sql_cosine("q.embedding", "r.embedding")} DESC, r.vec_id) <= 8""",
-    "hybrid_admission": STAGES_SQL + "SELECT query_id, parent_id, child_id, rank, round(score, 6) AS score, round(strength, 6) AS strength, tier, reason FROM admitted",
+    "hybrid_admission": STAGES_SQL + "SELECT query_id, parent_id, child_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank, round(score, 6) AS score, round(strength, 6) AS strength, tier, reason FROM admitted",
     "lexical_guarantee": STAGES_SQL + "SELECT query_id, parent_id, child_id, round(coverage, 6) AS coverage, round(strength, 6) AS strength, covers FROM guaranteed",
     "child_union_top32": STAGES_SQL + "SELECT query_id, parent_id, child_id, round(priority, 6) AS priority FROM hits",
     "parent_rank_top16": STAGES_SQL + "SELECT query_id, parent_id, rank, round(best_dense, 6) AS best_dense, round(top_avg, 6) AS top_avg, anchors, qualified FROM placed WHERE rank <= 16",

@@ -313,7 +313,6 @@ QUERIES = {
     )
 }
 
-UPDATE_RE = r"(?i)(?:更新为|改为|变更为|现在(?:是|为)|当前.{0,24}(?:是|为)|updated?\s+to|changed?\s+to|now\s+is)"
 SQL = {
     "turn_segments": f"WITH {RECORDS_SQL} SELECT * FROM seg",
     "segment_source_refs": f"WITH {RECORDS_SQL} SELECT session_id, 'seg-' || session_id || '-' || turn AS segment_id, seq, (role = 'user' AND coalesce(source_kind, 'user') = 'user') OR role = 'tool' AS canonical FROM inside",
@@ -333,20 +332,23 @@ FROM session_events WHERE content IS NOT NULL AND session_id IS NOT NULL GROUP B
     "ledger_replay": LIVE_SQL + "SELECT scope_kind, scope_id, collection, id, value_json FROM ranked WHERE n = 1 AND NOT gone",
     "ledger_scope_counts": LIVE_SQL + "SELECT scope_kind, collection, count(*) FILTER (value_json->>'$.tombstonedAt' IS NULL) AS live, count(*) FILTER (value_json->>'$.tombstonedAt' IS NOT NULL) AS tombstoned FROM ranked WHERE n = 1 AND NOT gone GROUP BY ALL",
     "ledger_scan": LIVE_SQL + "SELECT scope_kind, scope_id, id FROM ranked WHERE n = 1 AND NOT gone AND collection = 'sensoryChunks' AND value_json->>'$.tombstonedAt' IS NULL",
-    "reference_sync": """WITH r AS (SELECT scope_id AS workspace_id, id AS record_id FROM ledger_snapshot WHERE collection = 'semipersistentRecords' AND scope_kind = 'workspace'),
-p AS (SELECT split_part(id, '@', 1) AS record_id, split_part(id, '@', 2) AS session_id FROM ledger_snapshot WHERE collection = 'semipersistentProjections'),
+    "reference_sync": LIVE_SQL.rstrip() + """, state AS (SELECT *, value_json->>'$.tombstonedAt' IS NULL AS live FROM ranked WHERE n = 1 AND NOT gone),
+r AS (SELECT scope_id AS workspace_id, id AS record_id FROM state WHERE collection = 'semipersistentRecords' AND scope_kind = 'workspace' AND live),
+p AS (SELECT split_part(id, '@', 1) AS record_id, split_part(id, '@', 2) AS session_id, live FROM state WHERE collection = 'semipersistentProjections'),
 s AS (SELECT DISTINCT workspace_id, session_id FROM session_events WHERE workspace_id IS NOT NULL AND session_id IS NOT NULL)
-SELECT record_id, session_id, 'create' AS action FROM r JOIN s USING (workspace_id) ANTI JOIN p USING (record_id, session_id) UNION ALL SELECT record_id, session_id, 'delete' FROM p ANTI JOIN r USING (record_id)""",
+SELECT record_id, session_id, 'create' AS action FROM r JOIN s USING (workspace_id) ANTI JOIN p USING (record_id, session_id) UNION ALL SELECT record_id, session_id, 'delete' FROM p ANTI JOIN r USING (record_id) WHERE live""",
     "association_dedupe": USES_SQL + " SELECT item_id, session_id, turn, used_at FROM uses",
     "activation": FACTS_SQL + " SELECT item_id, round(activation, 6) AS activation, strong_recent, strong, sessions, last_turn FROM facts",
     "layer_decisions": FACTS_SQL + f""" SELECT item_id, strong_recent >= 2 AS to_semi, strong >= 3 AND sessions >= 2 AS to_bank,
   ({TURN_NOW} - last_turn >= 12 OR (epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_at)) / 3.6e9 >= 24) AND activation < -1.5 AS expires FROM facts""",
     "supersede": rf"""
 WITH p AS ({t.SQL_PARENTS}), o AS (SELECT session_id, parent_id, core_text, row_number() OVER (PARTITION BY session_id ORDER BY updated_at NULLS FIRST, parent_no) AS position FROM p WHERE session_id IS NOT NULL),
-c AS (SELECT o.*, child_id, text, list_filter({t.sql_tokens("text")}, lambda k: regexp_matches(k, '^[\x{{3400}}-\x{{9fff}}]+$') AND length(k) >= 2 OR length(k) >= 3 AND NOT regexp_matches(k, '^\d+$')) AS tokens FROM ({t.SQL_CHILDREN}) JOIN o USING (parent_id) WHERE text IS NOT NULL),
-n AS (SELECT * FROM c WHERE regexp_matches(trim(core_text), '{UPDATE_RE}') AND length(trim(core_text)) <= 1024 AND NOT regexp_matches(trim(core_text), '(?m)^---\s+.+\s+---$'))
+x AS (SELECT o.*, child_id, substring(core_text, greatest(0, start_offset) + 1, end_offset - greatest(0, start_offset)) AS text, vector FROM ({t.SQL_CHILDREN}) JOIN o USING (parent_id) WHERE start_offset IS NOT NULL),
+c AS (SELECT *, list_filter({t.sql_tokens("text")}, lambda k: regexp_matches(k, '^[\x{{3400}}-\x{{9fff}}]+$') AND length(k) >= 2 OR length(k) >= 3 AND NOT regexp_matches(k, '^\d+$')) AS tokens FROM x WHERE text <> ''),
+n AS (SELECT * FROM c WHERE regexp_matches(trim(core_text), '{text.UPDATE}') AND length(trim(core_text)) <= 1024 AND NOT regexp_matches(trim(core_text), '(?m)^---\s+.+\s+---$'))
 SELECT o.session_id, o.child_id AS old_child_id, n.child_id AS new_child_id FROM n JOIN c o ON n.session_id = o.session_id AND o.position < n.position AND o.parent_id <> n.parent_id AND o.text <> n.text
-WHERE len(list_intersect(n.tokens, o.tokens)) >= 3 QUALIFY row_number() OVER (PARTITION BY o.session_id, o.child_id ORDER BY n.position, n.child_id) = 1""",
+WHERE len(list_intersect(n.tokens, o.tokens)) >= 2 AND CASE WHEN n.vector IS NOT NULL AND o.vector IS NOT NULL THEN coalesce({t.sql_cosine("n.vector", "o.vector")}, 0) >= 0.45 ELSE len(list_intersect(n.tokens, o.tokens)) >= 3 END
+QUALIFY row_number() OVER (PARTITION BY o.session_id, o.child_id ORDER BY n.position, n.child_id) = 1""",
     "layer_counts": f"""SELECT workspace_id, count(*) AS parents, count(*) FILTER (coalesce(temporal_current, true)) AS current, count(*) FILTER (vector_state = 'active') AS active, count(*) FILTER (vector_state = 'pending-vector') AS pending, CAST(coalesce(sum(n), 0) AS BIGINT) AS children
 FROM ({t.SQL_PARENTS}) LEFT JOIN (SELECT parent_id, count(*) AS n, max(vector_state) AS vector_state FROM (SELECT child_no, max(parent_id) AS parent_id, max(vector_state) AS vector_state FROM child_spans GROUP BY child_no) GROUP BY parent_id) USING (parent_id) GROUP BY workspace_id""",
     "count_by": "SELECT coalesce(court_name, 'unknown') AS value, count(*) AS n FROM documents GROUP BY ALL",

@@ -86,6 +86,14 @@ def sql_cosine(a: str, b: str) -> str:
 
 
 SQL_PARENTS = "SELECT parent_no, " + ", ".join(f"max({c}) AS {c}" for c in PARENT_COLUMNS) + " FROM parent_chunks GROUP BY parent_no"
-SQL_CHILDREN = """SELECT child_no, max(child_id) AS child_id, max(parent_id) AS parent_id, max(embedding_text_preview) AS text, arg_max(vector, vector) AS vector, max(vector_model) AS vector_model
+SQL_CHILDREN = """SELECT child_no, max(child_id) AS child_id, max(parent_id) AS parent_id, max(start_offset) AS start_offset, max(end_offset) AS end_offset, max(embedding_text_preview) AS preview, arg_max(vector, vector) AS vector, max(vector_model) AS vector_model
   FROM child_spans GROUP BY child_no"""
+
+
+def sql_slice(core: str) -> str:
+    """The child's slice of the parent's text; the preview only where that is empty."""
+    a = "greatest(0, coalesce(start_offset, 0))"
+    return f"coalesce(nullif(substring({core}, {a} + 1, greatest({a}, coalesce(nullif(end_offset, 0), length({core}))) - {a}), ''), preview)"
+
+
 SQL_SCORE = "CASE WHEN phrase THEN 1.0 WHEN coverage >= 0.75 THEN 0.85 WHEN n_strong >= 2 THEN 0.80 WHEN coverage >= 0.5 THEN 0.70 WHEN coverage >= 0.25 THEN 0.35 ELSE 0.0 END"

@@ -37,10 +37,31 @@ def test_fallback_asks_the_bank(spark):
 
 
 def test_choose_prefers_new_cover_and_little_redundancy():
-    cover = lambda *s: [{"sub": i, "tier": "strong", "strength": 1.0} for i in s]
-    table = [{"parent_id": n, "cover": c, "best_dense": 0.5, "anchors": 1, "place": n, "view_tokens": set(t)} for n, c, t in (("a", cover(1), "xyz"), ("b", cover(1), "xyz"), ("c", cover(2), "uvw"))]
-    assert [r["parent_id"] for r, _ in match.choose(table, [1, 2], 6)] == ["a", "c"]
-    assert match.choose([], [1], 6) == []
+    import numpy as np
+
+    gain, alike = np.array([[2.0, 0.0], [2.0, 0.0], [0.0, 2.0]]), np.array([[0, 1.0, 0], [1.0, 0, 0], [0, 0, 0]])
+    base, place = np.full(3, 0.65), np.arange(3)
+    assert match.choose(gain, base, place, alike, 6) == [(0, 2.8), (2, 2.8)]
+    assert [p for p, _ in match.choose(np.zeros((3, 0)), base, place, alike, 6)] == [0, 2, 1]
+    assert [p for p, _ in match.choose(np.zeros((3, 0)), base * 0.1, place, alike, 6)] == [0, 2]
+    assert match.choose(np.zeros((0, 1)), np.zeros(0), np.zeros(0), np.zeros((0, 0)), 6) == []
+
+
+def test_blocks_keep_what_later_stages_take(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(40)] + ["the", "更新", "a1"]
+    say = lambda n: " ".join(r.choices(words, k=n))
+    vector = lambda: r.choice([None, [r.uniform(-1, 1) for _ in range(4)], [0.0] * 4, [float("nan"), 1.0, 1.0, 1.0]])
+    children = spark.createDataFrame([(r.choice("st"), f"p{i % 60}", f"c{i}", r.choice([None, "", say(6)]), vector(), r.choice(["m", "n", None])) for i in range(400)], C)
+    parents = spark.createDataFrame([(s, f"p{i}", "d", i, i % 3 > 0, True, False, None, say(9)) for i in range(50) for s in "st"], P)
+    queries = spark.createDataFrame([(i, r.choice("stu"), say(3), vector(), "m") for i in range(30)], Q)
+    stages = lambda: [rows(f(match.Retrieval(queries, children, parents, split=False))) for f in (lambda x: x.admitted.drop("rank"), lambda x: x.guaranteed.drop("rank"), lambda x: x.picks)]
+    whole = stages()
+    monkeypatch.setattr(match, "ROW_BLOCK", 37)
+    monkeypatch.setattr(match, "QUERY_BLOCK", 7)
+    assert all(whole) and stages() == whole
 
 
 def test_lexical_recall(spark):
@@ -50,12 +71,14 @@ def test_lexical_recall(spark):
     assert [(r["query_id"], r["candidate_id"], r["score"]) for r in got.collect()] == [(1, 1, 0.85)]
 
 
-def test_dense_top_against_brute_force(spark):
+def test_dense_top_against_brute_force(spark, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(match, "ROW_BLOCK", 37)
+    monkeypatch.setattr(match, "QUERY_BLOCK", 3)
     x = np.random.default_rng(0).normal(size=(150, 8)).astype("float32")
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, vector array<float>")
-    got = match.dense_top(df.filter("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), df, k=4, block=37)
+    got = match.dense_top(df.filter("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), df, k=4)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     want = sorted((q, int(r)) for q in range(0, 150, 20) for r in np.argsort(-(u @ u[q]), kind="stable")[:4])
     assert rows(got, "query_id", "row_id") == sorted(want, key=str)
