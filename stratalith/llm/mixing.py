@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from stratalith import storage
 from stratalith.llm import tokens
 
-RANGES = 1024
+#: Documents that a range of the random order holds, about; the ranges are a power of two between these.
+RANGE_DOCUMENTS, FEWEST, MOST = 65_536, 64, 1 << 24
 SLOPE = 0.8
 #: Knots of a schedule: training time and weight, in order of time, from 0.0 to 1.0.
 Schedule = list[tuple[float, float]]
@@ -46,11 +47,17 @@ def invert(pieces: Column, share: Column) -> Column:
     return F.least(p["u0"] + step, p["u1"])
 
 
-def plan(sources: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """One row per source of the targets: available and demanded tokens.
+#: Totals that follow from the sources: the tokens of all that have a target; or the most at which each meets its share.
+COLLECTION, SCARCEST = "collection", "scarcest"
 
-    Without ``total_tokens`` the total is the largest at which every source that exists reaches its share within its
-    repeats. Shares are scaled to 1 over the sources that exist; the others stay in the report with a demand of 0.
+
+def plan(sources: DataFrame, targets: DataFrame, total: int | str = COLLECTION) -> DataFrame:
+    """One row per source of the targets: available, wanted and demanded tokens.
+
+    The total is a number of tokens, ``COLLECTION`` (as many as the sources have; one that can't fill its share within its
+    repeats gives all that it may, and the rest of its share is reported as its shortfall) or ``SCARCEST`` (the largest at
+    which every source reaches its share within its repeats; most of a large source may stay out). Shares are scaled to 1
+    over the sources that exist; the others stay in the report with a demand of 0.
     """
     rows = targets.select(name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
     rows = rows.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -60,8 +67,10 @@ def plan(sources: DataFrame, targets: DataFrame, total_tokens: int | None = None
     rows = rows.withColumn("wanted", F.when(usable, F.col("target_share")).otherwise(0.0))
     rows = rows.withColumn("wanted", F.when(F.sum("wanted").over(every) > 0, F.col("wanted") / F.sum("wanted").over(every)).otherwise(0.0))
     reach = F.when(F.col("wanted") > 0, F.col("tokens") * F.col("max_repeats") / F.col("wanted"))
-    total = F.coalesce(F.min(reach).over(every), F.lit(0.0)) if total_tokens is None else F.lit(float(total_tokens))
-    demand = F.least(total * F.col("wanted"), (F.coalesce("tokens", F.lit(0)) * F.col("max_repeats")).cast("double"))
+    every_token = F.sum(F.when(F.col("wanted") > 0, F.col("tokens")).otherwise(0)).over(every).cast("double")
+    whole = every_token if total == COLLECTION else F.min(reach).over(every) if total == SCARCEST else F.lit(float(total))
+    rows = rows.withColumn("asked", F.coalesce(whole, F.lit(0.0)) * F.col("wanted"))
+    demand = F.least("asked", (F.coalesce("tokens", F.lit(0)) * F.col("max_repeats")).cast("double"))
     return rows.withColumn("demand", F.coalesce(demand, F.lit(0.0)))
 
 
@@ -79,7 +88,7 @@ def default_schedules(rows: list) -> dict[str, Schedule]:
 def mix(
     docs: DataFrame,
     targets: DataFrame,
-    total_tokens: int | None = None,
+    total: int | str = COLLECTION,
     schedules: dict[str, Schedule] | None = None,
     seed: int = 7,
     vocabulary: str = tokens.VOCABULARY,
@@ -89,19 +98,21 @@ def mix(
     ``docs`` needs ``doc_id``, ``text`` and ``source``, ``targets`` needs ``source``, ``target_share`` and
     ``max_repeats``; other columns are ignored. Sources compare trimmed and in lower case. Null and blank texts, null ids
     and sources without a target have no row. A repeated id is one document, the one with most tokens. A copy is taken if
-    its middle lies before the end of its source's demand, so a share is met to within half a document. A null share
-    counts as 0, null repeats as 1. Empty tables give no row. The report keeps every target, reached or not.
+    its middle lies before the end of its source's demand, so a demand is met to within half a document. ``total`` is
+    explained at :func:`plan`. A null share counts as 0, null repeats as 1. Empty tables give no row. The report keeps
+    every target, reached or not, with what it falls short.
     """
     rows = tokens.sized(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), name(F.col("source")).alias("source"), "text"), vocabulary=vocabulary)
     rows = storage.materialize(rows.filter("doc_id is not null and source is not null"), "sized")
     known = targets.select(name(F.col("source")).alias("source")).distinct()
     best = rows.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("d"))
     best = best.select("doc_id", "d.source", "d.n_tokens").join(known, "source", "left_semi")
-    best = best.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.shiftrightunsigned("h", 54).cast("int"))
-    best = storage.materialize(best, "chosen")
+    best = storage.materialize(best.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "chosen")
+    bits = min(MOST, max(FEWEST, best.count() // RANGE_DOCUMENTS)).bit_length()
+    best = best.withColumn("range", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     ranges = best.groupBy("source", "range").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     sources = ranges.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
-    planned = storage.materialize(plan(sources, targets, total_tokens), "plan")
+    planned = storage.materialize(plan(sources, targets, total), "plan")
     # The targets are a list of sources made by hand; a longer one is refused, not broadcast.
     listed = planned.limit(100_001).collect()
     if len(listed) > 100_000:
@@ -125,9 +136,10 @@ def mix(
 
 
 def shares(mixture: DataFrame, planned: DataFrame) -> DataFrame:
-    """Of each target: its share, the share reached, tokens, documents and the most copies of one document."""
+    """Of each target: its share, the share reached, tokens, documents, the most copies of one document and the tokens it falls short."""
     got = mixture.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.countDistinct("doc_id").alias("mixed_documents"), F.max("copy_no").alias("copies"))
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # one row per target
     rows = planned.join(got, "source", "left").na.fill(0, ["tokens", "documents", "mixed_tokens", "mixed_documents", "copies"])
     reached = F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(0.0)
-    return rows.select("source", "target_share", "max_repeats", F.col("wanted").alias("scaled_share"), reached.alias("share_reached"), "tokens", "documents", "mixed_tokens", "mixed_documents", "copies")
+    short = F.greatest(F.lit(0), F.round(F.col("asked") - F.col("mixed_tokens")).cast("bigint"))
+    return rows.select("source", "target_share", "max_repeats", F.col("wanted").alias("scaled_share"), reached.alias("share_reached"), "tokens", "documents", "mixed_tokens", "mixed_documents", "copies", short.alias("shortfall"))

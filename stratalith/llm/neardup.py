@@ -28,7 +28,7 @@ from stratalith import storage
 from stratalith.llm.hashing import WordValues, rolling
 
 BITS, FANOUT, LEAVES, BLOCK, CHUNK = 512, 8, 32, 512, 100_000
-FREQUENT = 200_000
+FREQUENT, LEAST = 200_000, 0.03
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -202,8 +202,8 @@ def similar_classes(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> tup
     ``texts`` has ``member`` (bigint), ``owner`` (string) and ``text``. Repeated rows are one; of a member with several
     texts each counts. Texts of fewer than ``n`` words, null texts and null members belong to no class.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must lie above 0 and at most at 1")
+    if not LEAST <= threshold <= 1:  # below, similar sets may share fewer runs than `shared_least` asks for
+        raise ValueError(f"threshold must lie from {LEAST} to 1")
     rows = texts.select(F.col("member").cast("bigint").alias("member"), F.col("owner").cast("string").alias("owner"), "text").filter("member is not null and text is not null")
     sets = storage.materialize(rows.mapInArrow(_sets(n), SETS), "sets")
     members = sets.select("member", "owner", "class").distinct()

@@ -2,8 +2,9 @@
 
 Each of ``TABLES`` tables turns unit vectors by pseudo-rotations (sign flips and fast Hadamard transforms) and names the
 nearest signed axis. A row is stored in the cell of its axis. As a query it also probes the cell of the runner-up axis if
-that is nearly as near (``PROBE_GAP``). Cells over ``CELL_ROWS`` rows are split by further rotations of the same table;
-a cell that ``LEVELS`` rotations can't split is worked through in pairs of blocks, which loses nothing.
+that is nearly as near (``PROBE_GAP``). Cells over ``CELL_ROWS`` rows are split by further rotations of the same table, as long
+as there are any; a cell that ``LEVELS`` rotations can't split is worked through in pairs of blocks, which loses nothing.
+Which cells are split is a table that rows are joined with by path, so the rule is the same at every size.
 Rows whose cells hold too few others are searched exactly among all rows of their model, in pairs of blocks.
 Within a cell all similarities are computed by matrix products and the best are ranked exactly, in double precision.
 
@@ -20,8 +21,7 @@ from pyspark.sql import functions as F
 
 from stratalith import storage
 
-TABLES, LEVELS, PROBE_GAP, CELL_ROWS = 3, 3, 0.1, 8192
-SPLITS_ON_DRIVER = 200_000
+TABLES, LEVELS, PROBE_GAP, CELL_ROWS = 3, 5, 0.1, 8192
 TILE = 512
 
 
@@ -99,41 +99,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
 COUNTS = "vector_model string, place int, path bigint, n bigint"
 
 
-def _counts(dims: int):
+def _counts(dims: int, level: int):
+    """How many rows of a batch lie in each cell of a level."""
+
     def run(batches):
         for batch in batches:
             for model, _, x in _by_model(batch, dims):
                 unit = _unit(x).astype(np.float32)
                 for table in range(TABLES):
-                    for level, path in enumerate(_paths(unit, table)[0]):
-                        values, n = np.unique(path, return_counts=True)
-                        yield pa.RecordBatch.from_pydict({"vector_model": pa.array([model] * len(n), pa.string()), "place": pa.array(np.full(len(n), table * 16 + level, np.int32)), "path": pa.array(values), "n": pa.array(n)})
+                    values, n = np.unique(_paths(unit, table, level + 1)[0][level], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"vector_model": pa.array([model] * len(n), pa.string()), "place": pa.array(np.full(len(n), table, np.int32)), "path": pa.array(values), "n": pa.array(n)})
 
     return run
 
 
-ROWS = "vector_model string, place int, path bigint, blocks int, role int, child_no bigint, vector binary"
+def oversized(rows: DataFrame, dims: int, cap: int) -> list[DataFrame]:
+    """Of each level that is needed, the cells of more than ``cap`` rows: ``vector_model, place, path, n``.
+
+    A cell over the cap lies within one of the level above. The last level is the first without such cells, or ``LEVELS``.
+    """
+    out: list[DataFrame] = []
+    for level in range(LEVELS):
+        counts = rows.mapInArrow(_counts(dims, level), COUNTS).groupBy("vector_model", "place", "path").agg(F.sum("n").alias("n"))
+        cells = storage.materialize(counts.filter(F.col("n") > cap), "cells")
+        if cells.isEmpty():
+            break
+        out.append(cells)
+    return out
+
 
+def _fixed(raw: np.ndarray) -> pa.Array:
+    """Vectors as binary values."""
+    width = raw.shape[1] * raw.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
-def _rows(dims: int, splits: dict | None):
-    """Every row, once per table as base and query, and as query in each cell that it probes. role: 1 base, 2 query, 3 both."""
 
-    def placed(model: str, table: int, paths: list[np.ndarray]):
-        """Level and path where a cell is small enough, and the blocks of those that never are."""
-        level = np.zeros(len(paths[0]), np.int32)
-        blocks = np.ones(len(paths[0]), np.int64)
-        for j in range(LEVELS):
-            keys, counts = (splits or {}).get((model, table * 16 + j), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            at = np.searchsorted(keys, paths[j])
-            over = np.zeros(len(level), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] == paths[j]
-            over &= level == j
-            if j + 1 < LEVELS:
-                level[over] = j + 1
-            elif over.any():
-                blocks[over] = -(-counts[at[over]] // CELL_ROWS)
-        if splits is None:
-            level[:] = LEVELS - 1
-        return level, np.choose(level, paths), blocks
+def _rows(dims: int, levels: int):
+    """Every row once per table in its own cell (``probe`` 0), and once in each cell that it probes by the runner-up of a level."""
 
     def run(batches):
         for batch in batches:
@@ -142,40 +144,46 @@ def _rows(dims: int, splits: dict | None):
                 raw = np.ascontiguousarray(x.astype(np.float32))
                 unit = _unit(x).astype(np.float32)
                 for table in range(TABLES):
-                    own, probes = _paths(unit, table)
-                    for kind, (r, paths) in enumerate([(np.arange(len(rows)), own), *probes]):
-                        level, path, blocks = placed(model, table, paths)
-                        if kind:  # a probe at a level that the cell doesn't reach is the row's own cell
-                            keep = level >= kind - 1
-                            r, level, path, blocks = r[keep], level[keep], path[keep], blocks[keep]
-                        copies = [(np.arange(len(r)), np.zeros(len(r), np.int64), np.full(len(r), 3 if not kind else 2))]
-                        if (blocks > 1).any():
-                            copies = [(c[0][blocks[c[0]] == 1], c[1][blocks[c[0]] == 1], c[2][blocks[c[0]] == 1]) for c in copies]
-                            many = np.flatnonzero(blocks > 1)
-                            n = blocks[many]
-                            i = np.repeat(many, n)
-                            other = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                            mine = (child[r[i]] * 0x9E3779B1 % (1 << 31)) % blocks[i]
-                            copies.append((i, (other << 16) + mine + 1, np.full(len(i), 2)))
-                            if not kind:
-                                copies.append((i, (mine << 16) + other + 1, np.full(len(i), 1)))
-                        for i, block, role in copies:
-                            if len(i):
-                                yield pa.RecordBatch.from_pydict(
-                                    {
-                                        "vector_model": pa.array([model] * len(i), pa.string()),
-                                        "place": pa.array((table * 16 + level[i]).astype(np.int32)),
-                                        "path": pa.array(path[i]),
-                                        "blocks": pa.array(block.astype(np.int32)),
-                                        "role": pa.array(role.astype(np.int32)),
-                                        "child_no": pa.array(child[r[i]]),
-                                        "vector": pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dims), len(i), [None, pa.py_buffer(raw[r[i]].tobytes())]).cast(pa.binary()),
-                                    }
-                                )
+                    own, probes = _paths(unit, table, levels)
+                    for probe, (r, paths) in enumerate([(np.arange(len(rows)), own), *probes]):
+                        if len(r):
+                            head = {"vector_model": pa.array([model] * len(r), pa.string()), "place": pa.array(np.full(len(r), table, np.int32)), "probe": pa.array(np.full(len(r), probe, np.int32))}
+                            yield pa.RecordBatch.from_pydict(head | {f"p{j}": pa.array(p) for j, p in enumerate(paths)} | {"child_no": pa.array(child[r]), "vector": _fixed(raw[r])})
 
     return run
 
 
+CELL = ("vector_model", "place", "level", "path", "query_block", "base_block")
+
+
+def placed(rows: DataFrame, over: list[DataFrame], dims: int) -> DataFrame:
+    """Rows in their cells: ``CELL``, ``role`` (1 base, 2 query, 3 both), ``child_no``, ``vector``.
+
+    A row goes down as many levels as its path has cells over the cap. A probe counts where its level is reached; above, it
+    is the row's own cell. In cells over the cap at the last level queries meet each block of base rows.
+    """
+    levels = min(len(over) + 1, LEVELS)
+    shape = ["vector_model string", "place int", "probe int", *(f"p{j} bigint" for j in range(levels)), "child_no bigint", "vector binary"]
+    out = rows.mapInArrow(_rows(dims, levels), ", ".join(shape))
+    for j, cells in enumerate(over):
+        out = out.join(cells.withColumnsRenamed({"path": f"p{j}", "n": f"n{j}"}), ["vector_model", "place", f"p{j}"], "left")
+    level = sum((F.col(f"n{j}").isNotNull().cast("int") for j in range(min(len(over), LEVELS - 1))), F.lit(0))
+    path = F.coalesce(*(F.when(F.col("level") == j, F.col(f"p{j}")) for j in range(levels)))
+    out = out.withColumn("level", level).filter("probe <= level + 1").withColumn("path", path)
+    role = F.when(F.col("probe") == 0, 3).otherwise(2)
+    if len(over) < LEVELS:
+        none = F.lit(0)
+        return out.select(*CELL[:4], none.alias("query_block"), none.alias("base_block"), role.alias("role"), "child_no", "vector")
+    blocks = F.coalesce(F.ceil(F.col(f"n{LEVELS - 1}") / CELL_ROWS), F.lit(1)).cast("int")
+    mine, every = F.pmod(F.xxhash64("child_no"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    copy = lambda q, b, r: F.struct(q.alias("query_block"), b.alias("base_block"), r.cast("int").alias("role"))
+    asks, stands = F.transform(every, lambda b: copy(F.col("mine"), b, F.lit(2))), F.transform(every, lambda b: copy(b, F.col("mine"), F.lit(1)))
+    zero = F.lit(0)
+    copies = F.when(F.col("blocks") == 1, F.array(copy(zero, zero, role))).when(F.col("probe") > 0, asks).otherwise(F.concat(asks, stands))
+    out = out.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("c", F.explode(copies))
+    return out.select(*CELL[:4], "c.*", "child_no", "vector")
+
+
 def top(query: np.ndarray, q_id: np.ndarray, base: np.ndarray, b_id: np.ndarray, k: int):
     """Ids and similarities of the k most similar base rows of each query, itself left out; ties to the smaller id.
 
@@ -242,9 +250,7 @@ def _packed(dims: int):
         for batch in batches:
             for model, rows, x in _by_model(batch, dims):
                 child = batch.column(batch.schema.get_field_index("child_no")).take(pa.array(rows))
-                raw = np.ascontiguousarray(x.astype(np.float32)).tobytes()
-                vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dims), len(rows), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_pydict({"vector_model": pa.array([model] * len(rows), pa.string()), "child_no": child, "vector": vectors})
+                yield pa.RecordBatch.from_pydict({"vector_model": pa.array([model] * len(rows), pa.string()), "child_no": child, "vector": _fixed(np.ascontiguousarray(x.astype(np.float32)))})
 
     return run
 
@@ -311,15 +317,7 @@ def nearest(spans: DataFrame, k: int = 5, dims: int = 64, cell_rows: int | None
         first = heads.filter(F.col("rank") <= k).groupBy("ck").agg(F.sort_array(F.collect_list(F.struct(F.lit(-1.0).alias("far"), F.col("child_no").alias("id")))).alias("near"))
         rest = others.join(few(first), "ck").select("child_no", "near")
         rows = rows.join(others.select("child_no"), "child_no", "left_anti")
-    counts = rows.mapInArrow(_counts(dims), COUNTS).groupBy("vector_model", "place", "path").agg(F.sum("n").alias("n")).filter(F.col("n") > cap)
-    over = counts.limit(SPLITS_ON_DRIVER + 1).collect()  # bounded; there is at most one for every `cap` rows of a table and level
-    splits = None
-    if len(over) <= SPLITS_ON_DRIVER:
-        by: dict = {}
-        for model, place, path, n in over:
-            by.setdefault((model, place), []).append((path, n))
-        splits = {key: tuple(np.array(sorted(v), np.int64).T) for key, v in by.items()}
-    found = rows.mapInArrow(_rows(dims, splits), ROWS).groupBy("vector_model", "place", "path", "blocks").applyInArrow(_cell(k, dims), FOUND)
+    found = placed(rows, oversized(rows, dims, cap), dims).groupBy(*CELL).applyInArrow(_cell(k, dims), FOUND)
     if rest is not None:
         found = found.unionByName(rest)
     best = storage.materialize(_merged(found, k), "best")  # has every row, as it is found in its own cell, if only with no others
@@ -332,6 +330,14 @@ def nearest(spans: DataFrame, k: int = 5, dims: int = 64, cell_rows: int | None
     return best.select("child_no", F.transform("near", lambda x: F.struct(x["id"].alias("id"), (-x["far"]).alias("similarity"))).alias("near"))
 
 
+def exact_nearest(spans: DataFrame, queries: DataFrame, k: int = 5, dims: int = 64) -> DataFrame:
+    """``child_no, near`` as :func:`nearest`, without loss, for the rows that ``queries`` (``child_no``) names."""
+    rows = spans.select(F.col("child_no").cast("bigint").alias("child_no"), "vector_model", F.col("vector").cast("array<float>").alias("vector"))
+    rows = rows.filter("child_no is not null and vector_model is not null")
+    best = _merged(_exact(rows, queries.select("child_no"), k, dims), k)
+    return best.select("child_no", F.transform("near", lambda x: F.struct(x["id"].alias("id"), (-x["far"]).alias("similarity"))).alias("near"))
+
+
 def links(near: DataFrame) -> DataFrame:
     """Unordered pairs of which one is among the nearest of the other: ``child_a`` < ``child_b``."""
     pairs = near.select("child_no", F.explode("near.id").alias("other"))

@@ -4,11 +4,13 @@ The driver sees the histogram only: at most ``capacity`` counts, however many it
 up to ``PATTERN_ITEMS`` items whose size classes fill a container, fits their repeat counts, rounds them, turns classes
 into exact sizes, and packs what is left best-fit into the remaining room, all in counts of like containers. The result
 is a table of slots, whose size depends on the capacity. Items find their slot by size and by rank among items of that
-size; ranks are counted in salted groups, so that a size shared by a third of all items is spread over tasks.
+size; ranks are counted in groups of about ``GROUP`` items, so that a size shared by a third of all items is spread over
+tasks, however many there are.
 """
 
 from __future__ import annotations
 
+import warnings
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from stratalith import storage
 from stratalith.llm import tokens
 
-CLASSES, PATTERN_ITEMS, SALTS = 64, 4, 64
+CLASSES, PATTERN_ITEMS, GROUP = 64, 4, 65_536
 
 
 def patterns(classes: int = CLASSES, items: int = PATTERN_ITEMS) -> list[tuple[int, ...]]:
@@ -40,7 +42,10 @@ def patterns(classes: int = CLASSES, items: int = PATTERN_ITEMS) -> list[tuple[i
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The x >= 0 that minimises |a x - b|, by active sets (Lawson and Hanson)."""
+    """The x >= 0 that minimises |a x - b|, by active sets (Lawson and Hanson).
+
+    Stopped before the optimum, it warns: the patterns then cover less, and best fit packs the rest.
+    """
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
     tolerance = 1e-9 * max(1.0, np.abs(a.T @ b).max(initial=0))
@@ -67,6 +72,8 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             active[gone] = False
             x[gone] = 0
+    else:
+        warnings.warn("the fit of patterns stopped before its optimum", stacklevel=2)
     return x
 
 
@@ -205,13 +212,18 @@ def pack(docs: DataFrame, capacity: int, vocabulary: str = tokens.VOCABULARY) ->
     items = items.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last)))
     first = F.col("piece_no").cast("bigint") * capacity
     items = items.select("doc_id", "piece_no", first.alias("first_token"), F.least(F.col("n_tokens") - first, F.lit(capacity)).alias("n_tokens"))
-    items = storage.materialize(items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int")), "items")
-    counts = storage.materialize(items.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")), "sizes")
-    sizes = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    table = slots(fit(sizes, capacity))
+    # Items of null id are spread by their row; what is written once keeps its place.
+    spread = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "piece_no")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    items = storage.materialize(items.withColumn("h", spread), "items")
+    sizes = {r[0]: r[1] for r in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    table = items.sparkSession.sparkContext.broadcast(slots(fit(sizes, capacity)))  # so is this bounded by the capacity
+    salts = items.sparkSession.createDataFrame([(s, -(-n // GROUP)) for s, n in sizes.items()], "n_tokens bigint, salts bigint")
+    salted = items.join(F.broadcast(salts), "n_tokens").withColumn("salt", F.pmod("h", "salts")).drop("salts")
+    counts = salted.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece_no")) - 1
-    ranked = items.withColumn("rank", rank).join(counts.select("n_tokens", "salt", before.alias("before")), ["n_tokens", "salt"])
+    counts = storage.materialize(counts.select("n_tokens", "salt", before.alias("before")), "sizes")
+    rank = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece_no", "h")) - 1
+    ranked = salted.withColumn("rank", rank).join(counts, ["n_tokens", "salt"])
     ranked = ranked.select("doc_id", "piece_no", "first_token", "n_tokens", (F.col("rank") + F.col("before")).alias("rank"))
 
     def run(batches):
@@ -221,7 +233,7 @@ def pack(docs: DataFrame, capacity: int, vocabulary: str = tokens.VOCABULARY) ->
             order = np.argsort(size, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
                 if len(part):
-                    first, container, place, start = table[int(size[part[0]])]
+                    first, container, place, start = table.value[int(size[part[0]])]
                     i = np.searchsorted(first, rank[part], side="right") - 1
                     found[:, part] = container[i] + rank[part] - first[i], place[i], start[i]
             yield pa.RecordBatch.from_arrays(
@@ -232,6 +244,15 @@ def pack(docs: DataFrame, capacity: int, vocabulary: str = tokens.VOCABULARY) ->
     return ranked.mapInArrow(run, PACKED)
 
 
+def checked(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: documents packed, containers over the capacity, containers with a gap or an overlap, and items cut without need."""
+    inside = packed.groupBy("container_no").agg(F.sum("n_tokens").alias("used"), F.array_sort(F.collect_list(F.struct("start_token", "n_tokens"))).alias("items"))
+    meets = F.aggregate("items", F.lit(0).cast("bigint"), lambda at, x: F.when(x["start_token"] == at, at + x["n_tokens"]).otherwise(F.lit(-(1 << 40)))) == F.col("used")
+    boxes = inside.agg(F.count_if(F.col("used") > capacity).alias("over_capacity"), F.count_if(~meets).alias("misplaced"))
+    items = packed.agg(F.count_if(F.col("piece_no") == 0).alias("n_documents"), F.count_if((F.col("piece_no") > 0) & (F.col("first_token") % capacity > 0)).alias("cut_early"))
+    return items.join(boxes).select("n_documents", "over_capacity", "misplaced", "cut_early")  # one row each
+
+
 def fill(packed: DataFrame, capacity: int) -> DataFrame:
     """``n_items, used_tokens, unused_tokens`` of each ``container_no``."""
     out = packed.groupBy("container_no").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("used_tokens"))

@@ -43,6 +43,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.links(neighbours.nearest(_table(spark, sf_dir, "child_spans")))
 
 
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set, ids divisible by 20, against all rows."""
+    spans = _table(spark, sf_dir, "child_spans")
+    return neighbours.exact_nearest(spans, spans.filter("child_no % 20 = 0").select("child_no").distinct())
+
+
+def p4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _exact(spark, sf_dir).select("child_no", F.posexplode("near").alias("i", "x"))
+    return near.select("child_no", (F.col("i") + 1).cast("bigint").alias("rank"), F.col("x.id").alias("near_no"), F.round("x.similarity", 6).alias("similarity"))
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact neighbours of that query set the index finds, in one row; ``reached`` at a recall of 0.95."""
+    exact = _exact(spark, sf_dir).select("child_no", F.explode("near.id").alias("id"))
+    found = neighbours.nearest(_table(spark, sf_dir, "child_spans")).filter("child_no % 20 = 0").select("child_no", F.explode("near.id").alias("id"), F.lit(1).alias("hit"))
+    return exact.join(found, ["child_no", "id"], "left").agg(F.count("*").alias("n_pairs"), (F.count("hit") >= 0.95 * F.count("*")).alias("reached"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "parent_chunks").selectExpr("parent_no AS id", "document_title AS title", "core_text AS text")
     return splitting.pieces(rows).withColumnRenamed("id", "parent_no")
@@ -56,6 +74,20 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).distinct()
 
 
+def p5_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cores of the pieces put together again, and whether every piece and overlap keeps its limit."""
+    rows = _pieces(spark, sf_dir).distinct()
+    core = F.expr("right(piece_text, end_offset - start_offset)")
+    rows = rows.groupBy("parent_no").agg(F.array_sort(F.collect_list(F.struct("piece_no", core.alias("core")))).alias("c"), F.bool_and(F.expr("token_count <= 512 and overlap_tokens <= 64")).alias("within"))
+    whole = F.array_join(F.transform("c", lambda x: x["core"]), "")
+    return rows.select("parent_no", F.length(whole).cast("bigint").alias("n_chars"), F.md5(whole.cast("binary")).alias("digest"), "within")
+
+
+def p6_check(spark: SparkSession, sf_dir: str, kind: str = "medium") -> DataFrame:
+    capacity = packing.capacity_of(_table(spark, sf_dir, "container_kinds"), kind)
+    return packing.checked(packing.pack(_table(spark, sf_dir, "documents"), capacity), capacity)
+
+
 def p6_pack(spark: SparkSession, sf_dir: str, kind: str = "medium") -> DataFrame:
     capacity = packing.capacity_of(_table(spark, sf_dir, "container_kinds"), kind)
     return packing.pack(_table(spark, sf_dir, "documents"), capacity)
@@ -82,7 +114,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p5_found": p5_found, "p5_pieces": p5_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_roundtrip": p5_roundtrip, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_exact": p4_exact, "p4_recall": p4_recall, "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_check": p6_check, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_share": p8_share}
 P2_SQL = """
 WITH distinct_rows AS (
   SELECT * EXCLUDE (pick) FROM (
@@ -151,6 +183,15 @@ pairs AS (SELECT a.parent_no AS parent_a, b.parent_no AS parent_b, count(*) AS s
 SELECT parent_a, parent_b FROM pairs JOIN sizes x ON x.parent_no = parent_a JOIN sizes y ON y.parent_no = parent_b WHERE shared / (x.n + y.n - shared) >= 0.6
 """
 
+#: Brute force over the query set.
+P4_SQL = """
+WITH u AS (SELECT child_no, any_value(vector_model) AS m, any_value(vector) AS v FROM child_spans WHERE vector_model IS NOT NULL AND len(vector) = 64
+    AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY child_no),
+n AS (SELECT child_no, m, CAST(v AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(v AS DOUBLE[]), lambda x: x * x))) AS size FROM u),
+s AS (SELECT a.child_no, b.child_no AS near_no, round(list_dot_product(a.v, b.v) / (a.size * b.size), 12) AS similarity FROM n a JOIN n b ON a.m = b.m AND a.child_no <> b.child_no WHERE a.child_no % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY child_no ORDER BY similarity DESC, near_no) AS rank FROM s QUALIFY rank <= 5)
+"""
+
 P8_SQL = """
 WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 words AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM texts),
@@ -162,16 +203,19 @@ runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ma
 spans AS (SELECT doc_id, min(i) AS first_word, max(i) + 39 AS last_word FROM runs GROUP BY doc_id, run)
 """
 
+OVER = """length(regexp_replace(core_text, '[\\x00-\\x7F]', '', 'g'))
+  + list_sum(list_transform(regexp_extract_all(core_text, '[\\x00-\\x7F]+'), lambda r: (length(r) + 3) // 4)) > 512"""
+
 SQL: dict[str, str] = {
     "p3_found": P3_SQL,
+    "p4_exact": P4_SQL + "SELECT child_no, rank, near_no, round(similarity, 6) AS similarity FROM r",
+    "p4_recall": P4_SQL + "SELECT count(*) AS n_pairs, true AS reached FROM r",
     "p8_found": P8_SQL + "SELECT doc_id, first_word, last_word FROM spans",
     "p8_share": P8_SQL + """SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS shared_words, coalesce(n, 0) / greatest(coalesce(len(w), 0), 1) AS shared_share
 FROM texts LEFT JOIN (SELECT doc_id, sum(last_word - first_word + 1) AS n FROM spans GROUP BY doc_id) USING (doc_id)""",
     "p2_found": P2_SQL,
     "p2_links": P2_LINKS_SQL,
-    "p5_found": """
-SELECT DISTINCT parent_no FROM parent_chunks
-WHERE length(regexp_replace(core_text, '[\\x00-\\x7F]', '', 'g'))
-  + list_sum(list_transform(regexp_extract_all(core_text, '[\\x00-\\x7F]+'), lambda r: (length(r) + 3) // 4)) > 512
-"""
+    "p5_found": f"SELECT DISTINCT parent_no FROM parent_chunks WHERE {OVER}",
+    "p5_roundtrip": f"SELECT DISTINCT parent_no, length(core_text) AS n_chars, md5(core_text) AS digest, true AS within FROM parent_chunks WHERE {OVER}",
+    "p6_check": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS cut_early FROM documents WHERE trim(text, E' \\n') <> ''",
 }

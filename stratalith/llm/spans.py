@@ -244,14 +244,15 @@ def shared_spans(docs: DataFrame, span: int = 40, shard_words: int = SHARD_WORDS
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     docs = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * span - 1))
     anchors = storage.materialize(docs.mapInArrow(_anchors(span), ANCHOR), "anchors")
-    words_per_anchor = (span - PHRASE + 2) / 2
-    shards = max(1, round(anchors.count() * words_per_anchor / shard_words))
+    shards = max(1, round(anchors.count() * (span - PHRASE + 2) / 2 / shard_words))
     recurring = anchors.groupBy("hash").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("other"))
     recurring = recurring.filter("home < other").select("hash", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int").alias("shard"))
     routes = anchors.select("hash", "rid", "pos").join(recurring, "hash").groupBy("rid", "shard").agg(F.collect_set("pos").alias("positions"))
     routes = storage.materialize(routes, "routes")
-    load = F.sum(F.size("positions")) * words_per_anchor
-    loads = routes.groupBy("shard").agg(F.ceil(load / salt_words).cast("int").alias("salts"))
+    # The words that a document sends: of each anchor those around it, of near ones what lies between them once.
+    reach, at, n = 2 * span - PHRASE, F.array_sort("positions"), F.size("positions")
+    sent = F.aggregate(F.zip_with(F.slice(at, 2, n), F.slice(at, 1, n - 1), lambda b, a: b - a), F.lit(reach).cast("bigint"), lambda t, gap: t + F.least(gap, F.lit(reach)))
+    loads = routes.withColumn("sent", sent).groupBy("shard").agg(F.ceil(F.sum("sent") / salt_words).cast("int").alias("salts"))
     by_text = routes.join(loads, "shard").groupBy("rid").agg(F.collect_list(F.struct("shard", "salts", "positions")).alias("routes"))
     placed = docs.join(by_text.hint("shuffle_hash"), "rid").select("rid", "doc_id", "text", "routes").mapInArrow(_passages(span), PASSAGE)
     found = placed.groupBy("shard", "salt").applyInArrow(_shard(span), FOUND)

@@ -1,13 +1,15 @@
 """Oversized texts cut at natural boundaries by recursive bisection.
 
 A text over the limit is cut at the strongest boundary near its midpoint; halves over the limit less the overlap are cut
-again; at last every piece but the first takes the end of the text before it as overlap. Positions are code points, so
+again; at last every piece but the first takes the end of the text before it as overlap. A cut or the start of an overlap
+lies within a word only where there is no boundary at all. Positions are code points, so
 the cores of the pieces, put together, are the text again.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -72,20 +74,24 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
             continue
         mid = (a + b) // 2
         cut = mid
-        # the middle half of the span counts as near the midpoint; a boundary there leaves both parts clearly smaller
-        near = max(1, (b - a) // 4)
-        for at in marks:
+        # The middle half of the span counts as near the midpoint; a boundary there leaves both parts clearly smaller. The
+        # rest of the span is searched only if no kind of boundary lies there.
+        for near, at in product((max(1, (b - a) // 4), b - a), marks):
             i = np.searchsorted(at, mid)
             best = [p for p in at[max(0, i - 1) : i + 1] if a < p < b and abs(p - mid) <= near]
             if best:
                 cut = int(min(best, key=lambda p: abs(p - mid)))
                 break
         todo += [(cut, b), (a, cut)]
+    edges = np.unique(np.concatenate(marks))
     out = []
     for a, b in cores:
         start = a
         if a and overlap:
             start = tail(wide, a, overlap)
+            i = np.searchsorted(edges, start)
+            if i < len(edges) and edges[i] < a:
+                start = int(edges[i])
             while token_count(wide[start:b]) > limit:  # only a core of one code point can leave so little room
                 start += 1
         out.append((start, a, b))

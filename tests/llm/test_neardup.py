@@ -70,3 +70,13 @@ def test_copies_and_groups(spark):
 
 def test_empty(spark):
     assert pairs(spark, [], threshold=0.6, n=3) == []
+
+
+def test_thresholds_that_could_lose_links_are_refused(spark):
+    import pytest
+
+    for bad in (0.0, 0.02, 1.5):
+        with pytest.raises(ValueError):
+            neardup.similar_classes(spark.createDataFrame([], SHAPE), threshold=bad)
+    for size in range(1, 5000):  # what is asked of two prefixes is never more than what similar sets share
+        assert neardup.shared_least(size) <= -(-2 * neardup.LEAST * size // (1 + neardup.LEAST))

@@ -40,6 +40,18 @@ def test_cells_that_are_split(spark):
     assert recall(got, brute(list(range(1500)), x, 5)) >= 0.9
 
 
+def test_every_depth_of_cells_keeps_its_recall(spark, monkeypatch):
+    x = clustered(1500, 8)
+    data, want = table(spark, [(i, "m", v) for i, v in enumerate(x)]), brute(list(range(1500)), x, 5)
+    over = neighbours.oversized(data, 64, 10)
+    assert 2 <= len(over) <= neighbours.LEVELS
+    for levels in (1, 2, 5):  # at 1 and 2 the last cells are worked through in pairs of blocks
+        monkeypatch.setattr(neighbours, "LEVELS", levels)
+        monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+        got = neighbours.nearest(data, cell_rows=10).collect()
+        assert len(got) == 1500 and recall(got, want) >= 0.95, levels
+
+
 def test_hot_cell_in_blocks_is_exact(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 50)
     r = np.random.default_rng(2)

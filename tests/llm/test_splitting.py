@@ -33,6 +33,16 @@ def test_natural_boundaries():
     assert all(text[:b].endswith((". ", "\n\n", ".")) for b in ends)
 
 
+def test_cuts_and_overlaps_keep_to_boundaries():
+    # the only boundaries lie far from the midpoints
+    text = "a" * 60 + " " + "b" * 400 + " " + "c" * 60
+    ends = [b for _, _, b in splitting.split_points(text, 100, 8)]
+    assert 61 in ends and 462 in ends
+    words = " ".join(f"word{i}" for i in range(900))
+    out = splitting.split_points(words, 200, 32)
+    assert all(words[:s].endswith(" ") or not s for s, _, _ in out) and all(s < a for s, a, _ in out[1:])
+
+
 def test_table(spark):
     long = "word " * 800
     data = [(1, "Title", long, 1), (1, "Title", long, 1), (2, None, "short", 1), (3, None, None, 1), (4, "", "", 1), (5, None, "中" * 900, 1), (None, None, long, 1), (6, None, "x" * 300_000, 1)]
