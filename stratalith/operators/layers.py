@@ -11,9 +11,11 @@ GLOBAL_SCOPE = "user-global"
 
 
 def bank_visible(bank: DataFrame, workspace: Column | str) -> DataFrame:
-    """Verified, current, not soft-deleted records of the workspace and of the user."""
+    """Verified, current, not soft-deleted and not superseded records of the workspace and of the user."""
     own = (F.col("scope_kind") == "workspace") & (F.col("scope_id") == (F.lit(workspace) if isinstance(workspace, str) else workspace))
     wide = F.col("scope_kind") == GLOBAL_SCOPE
+    if "superseded_by" in bank.columns:
+        bank = bank.filter("superseded_by is null")
     return bank.filter((own | wide) & F.coalesce("verified", F.lit(False)) & F.coalesce("current", F.lit(True)) & F.col("tombstoned_at").isNull())
 
 
@@ -118,9 +120,15 @@ def superseded_ranges(links: DataFrame, children: DataFrame) -> DataFrame:
     return rows.groupBy("parent_id").agg(F.array_sort(F.collect_list(hit)).alias("ranges"), F.bool_or(F.col("new_child_id").isNull()).alias("current"))
 
 
-def compacted(segments: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The first range (by ``range_no``) that overlaps each segment of its session: ``session_id, segment_id, range_no``."""
-    rows = segments.join(ranges, "session_id").filter("first_seq <= end and last_seq >= start")
+def compacted(segments: DataFrame, ranges: DataFrame, size: int = 64) -> DataFrame:
+    """The first range (by ``range_no``) that overlaps each segment of its session: ``session_id, segment_id, range_no``.
+
+    Both meet by buckets of ``size`` numbers, so a session's segments aren't compared with all of its ranges.
+    """
+    spread = lambda df, low, high: df.withColumn("b", F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
+    left = spread(segments.select("session_id", "segment_id", "first_seq", "last_seq").filter("first_seq <= last_seq"), "first_seq", "last_seq")
+    right = spread(ranges.select("session_id", "range_no", "start", "end").filter("start <= end"), "start", "end")
+    rows = left.join(right, ["session_id", "b"]).filter("first_seq <= end and last_seq >= start")
     return rows.groupBy("session_id", "segment_id").agg(F.min("range_no").alias("range_no"))
 
 

@@ -11,6 +11,7 @@ from stratalith.functions import text
 ROLE_OF = {"user/message": "user", "assistant/message": "assistant", "tool/result": "tool"}
 PROJECTION_PURPOSES = ("sensory-checkpoint", "sensory-root-manifest", "semipersistent-snapshot", "semipersistent-pointer", "semipersistent-superseded")
 CATALOG_PURPOSES = ("sensory-catalog", "sensory-catalog-legacy", *PROJECTION_PURPOSES)
+CHUNK = 4096
 BLOCKS = "array<struct<type string, text string, content string>>"
 
 
@@ -45,11 +46,32 @@ def turn_windows(events: DataFrame) -> DataFrame:
     return starts.groupBy("session_id", "turn").agg(F.max("seq").alias("start_seq"), F.max_by("next", "seq").alias("next")).select("session_id", "turn", "start_seq", (F.col("next") - 1).alias("end_seq"))
 
 
+def last_mark(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows with ``mark``: the greatest ``seq`` of their session's marks that isn't beyond their own; null before the first.
+
+    One ordered pass over chunks of ``CHUNK`` numbers; a chunk gets the last mark before it from one small row per chunk. So
+    rows never meet all marks of a session, and no session is gathered in one task.
+    """
+    tagged = rows.withColumn("__mark", F.lit(None).cast("bigint")).unionByName(marks.select("session_id", "seq").distinct().withColumn("__mark", F.col("seq").cast("bigint")), allowMissingColumns=True)
+    tagged = tagged.withColumn("__chunk", F.floor(F.col("seq") / CHUNK))
+    chunks = tagged.groupBy("session_id", "__chunk").agg(F.max("__mark").alias("most"))
+    before = F.max("most").over(Window.partitionBy("session_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.select("session_id", "__chunk", before.alias("__before"))
+    here = F.max("__mark").over(Window.partitionBy("session_id", "__chunk").orderBy("seq", F.col("__mark").isNull()))
+    out = tagged.withColumn("__here", here).filter("__mark is null").join(chunks, ["session_id", "__chunk"])
+    return out.withColumn("mark", F.coalesce("__here", "__before")).drop("__mark", "__chunk", "__here", "__before")
+
+
+def in_windows(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Records with the ``turn`` of the window they lie in; those outside are left out."""
+    starts = events.filter("event_type = 'turn/start' and turn is not null and session_id is not null and seq is not null")
+    windows = turn_windows(events).withColumnRenamed("start_seq", "mark")
+    return last_mark(rows.drop("turn"), starts).join(windows, ["session_id", "mark"]).filter("end_seq is null or seq <= end_seq").drop("mark", "end_seq")
+
+
 def segments(events: DataFrame) -> DataFrame:
     """One row per turn: its records' range and count, messages by role and tokens. Projections are no records."""
-    windows = turn_windows(events)
-    rows = records(events).filter(~is_projection(F.col("source_kind"), F.col("purpose"))).drop("turn")
-    inside = rows.join(windows, "session_id").filter("seq >= start_seq and (end_seq is null or seq <= end_seq)")
+    inside = in_windows(records(events).filter(~is_projection(F.col("source_kind"), F.col("purpose"))), events)
     return inside.groupBy("session_id", "turn").agg(
         F.concat(F.lit("seg-"), F.first("session_id"), F.lit("-"), F.first("turn").cast("string")).alias("segment_id"),
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_records"),
@@ -60,8 +82,7 @@ def segments(events: DataFrame) -> DataFrame:
 
 def source_refs(events: DataFrame) -> DataFrame:
     """``session_id, segment_id, seq, canonical``; canonical are the user's own messages and tool results."""
-    windows = turn_windows(events)
-    rows = records(events).drop("turn").join(windows, "session_id").filter("seq >= start_seq and (end_seq is null or seq <= end_seq)")
+    rows = in_windows(records(events), events)
     canonical = ((F.col("role") == "user") & (F.coalesce("source_kind", F.lit("user")) == "user")) | (F.col("role") == "tool")
     return rows.select("session_id", F.concat_ws("-", F.lit("seg"), "session_id", "turn").alias("segment_id"), "seq", canonical.alias("canonical"))
 

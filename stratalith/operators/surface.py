@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalith.config import Config
 from stratalith.functions import text
@@ -43,20 +45,27 @@ def eviction(segments: DataFrame, usable: Column, current_turn: Column, config:
 def skipping(items: DataFrame, group: list[str], order: list[str], cost: Column, limit: Column) -> DataFrame:
     """``accepted`` of each item: it is taken if it still fits; one that doesn't is passed over and later ones are tried.
 
-    Groups hold the few parents that a query selects.
+    What is taken depends on all items before, so a group is read in order by one task; it is streamed, not gathered. An
+    item of unknown cost isn't taken.
     """
-    keys = [c for c in items.columns if c not in group]
     rows = items.withColumn("__cost", cost.cast("bigint")).withColumn("__limit", limit.cast("bigint"))
-    rows = rows.groupBy(*group).agg(F.max("__limit").alias("__limit"), F.array_sort(F.collect_list(F.struct(*order, F.struct(*keys, "__cost").alias("item")))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["item"]["__cost"] <= F.col("__limit")
-        return F.struct(F.when(fits, acc["used"] + x["item"]["__cost"]).otherwise(acc["used"]).alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
-
-    rows = rows.withColumn("taken", F.aggregate("items", start, step)["taken"])
-    rows = rows.select(*group, F.explode(F.arrays_zip("items", "taken")).alias("x"))
-    return rows.select(*group, *(F.col("x")["items"]["item"][k].alias(k) for k in keys), F.col("x")["taken"].alias("accepted"))
+    rows = rows.repartition(*group).sortWithinPartitions(*group, *order)
+    at = [rows.columns.index(g) for g in group]
+
+    def run(batches):
+        last, used = None, 0
+        for batch in batches:
+            n = len(batch.schema)
+            keys, taken = zip(*(batch.column(i).to_pylist() for i in at)), []
+            for key, c, most in zip(keys, batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()):
+                if key != last:
+                    last, used = key, 0
+                fits = c is not None and most is not None and used + c <= most
+                used += c if fits else 0
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(taken, pa.bool_())], names=[*batch.schema.names[: n - 2], "accepted"])
+
+    return rows.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("accepted", T.BooleanType())]))
 
 
 def stopping(items: DataFrame, group: list[str], order: list[Column], cost: Column, limit: Column) -> DataFrame:

@@ -211,6 +211,9 @@ QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {t.sql_cosine("q.embed
     "lexical_guarantee": STAGES_SQL + "SELECT query_id, parent_id, child_id, round(coverage, 6) AS coverage, round(strength, 6) AS strength, covers FROM guaranteed",
     "child_union_top32": STAGES_SQL + "SELECT query_id, parent_id, child_id, round(priority, 6) AS priority FROM hits",
     "parent_rank_top16": STAGES_SQL + "SELECT query_id, parent_id, rank, round(best_dense, 6) AS best_dense, round(top_avg, 6) AS top_avg, anchors, qualified FROM placed WHERE rank <= 16",
+    "source_validation": f"""WITH {t.SQL_RECORDS}, p AS ({t.SQL_PARENTS}), cores AS (SELECT parent_id, session_id, {t.sql_norm("core_text")} AS core FROM p), sources AS (SELECT session_id, {t.sql_norm("text")} AS source FROM rec),
+pairs AS (SELECT parent_id, length(source) > 0 AND (contains(core, substring(source, 1, 80)) OR contains(source, substring(core, 1, 80))) AS hit FROM cores JOIN sources USING (session_id))
+SELECT parent_id, count(*) AS n_refs, count(*) AS n_found, CASE WHEN count(*) FILTER (hit) = 0 THEN 'source-chunk-mismatch' ELSE 'valid' END AS reason FROM pairs GROUP BY parent_id""",
     "evidence_gate": f"""SELECT parent_no, CASE WHEN coalesce(trim(core_text), '') = '' THEN 'empty-parent' WHEN session_id IS NULL THEN 'no-source-refs' WHEN coalesce(evidence_quality, 0) < 0.8 THEN 'low-evidence-quality'
   WHEN NOT coalesce(temporal_current, true) THEN 'temporal-mismatch' ELSE 'eligible' END AS reason FROM ({t.SQL_PARENTS})""",
 }

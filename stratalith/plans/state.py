@@ -121,17 +121,17 @@ def pressure_budget(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_id", "tokens", b.alias("b")).select("session_id", "tokens", F.round("b.pressure", 6).alias("pressure"), F.col("b.triggered").alias("triggered"), F.col("b.target").alias("target"))
 
 
-RECORDS_SQL = """rec AS (
-  SELECT session_id, seq, CASE event_type WHEN 'user/message' THEN 'user' WHEN 'assistant/message' THEN 'assistant' ELSE 'tool' END AS role,
-    any_value(source.kind) AS source_kind, any_value(source.purpose) AS purpose, any_value(content) AS content
-  FROM session_events WHERE event_type IN ('user/message', 'assistant/message', 'tool/result') AND session_id IS NOT NULL AND seq IS NOT NULL GROUP BY ALL),
+PROJECTION_SQL = "coalesce(source_kind = 'plugin' AND purpose IN ('sensory-checkpoint', 'sensory-root-manifest', 'semipersistent-snapshot', 'semipersistent-pointer', 'semipersistent-superseded'), false)"
+RECORDS_SQL = t.SQL_RECORDS + """,
 starts AS (SELECT *, lead(seq) OVER (PARTITION BY session_id ORDER BY seq) AS nxt FROM (SELECT DISTINCT session_id, turn, seq FROM session_events WHERE event_type = 'turn/start' AND turn IS NOT NULL)),
 win AS (SELECT session_id, turn, max(seq) AS start_seq, arg_max(nxt, seq) - 1 AS end_seq FROM (SELECT * FROM starts) GROUP BY ALL),
 win2 AS (SELECT w.session_id, w.turn, w.start_seq, s.nxt - 1 AS end_seq FROM win w JOIN starts s ON s.session_id = w.session_id AND s.seq = w.start_seq AND s.turn = w.turn),
 inside AS (SELECT r.*, w.turn FROM rec r JOIN win2 w ON r.session_id = w.session_id AND r.seq >= w.start_seq AND (w.end_seq IS NULL OR r.seq <= w.end_seq)),
 seg AS (SELECT session_id, turn, 'seg-' || session_id || '-' || turn AS segment_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_records,
     count(*) FILTER (role = 'user') AS n_user, count(*) FILTER (role = 'assistant') AS n_assistant, count(*) FILTER (role = 'tool') AS n_tool
-  FROM inside WHERE NOT coalesce(source_kind = 'plugin' AND purpose IN ('sensory-checkpoint', 'sensory-root-manifest', 'semipersistent-snapshot', 'semipersistent-pointer', 'semipersistent-superseded'), false) GROUP BY ALL)"""
+  FROM inside WHERE NOT """ + PROJECTION_SQL + " GROUP BY ALL)"
+#: Segments with their tokens.
+COSTS_SQL = f"""{RECORDS_SQL}, costs AS (SELECT session_id, turn, min(seq) AS first_seq, CAST(sum({t.sql_estimate("text")}) AS BIGINT) AS tokens FROM inside WHERE NOT {PROJECTION_SQL} GROUP BY ALL)"""
 
 
 # the ledger
@@ -315,7 +315,27 @@ QUERIES = {
 
 SQL = {
     "turn_segments": f"WITH {RECORDS_SQL} SELECT * FROM seg",
+    "segment_tokens": f"WITH {COSTS_SQL} SELECT session_id, turn, tokens FROM costs",
     "segment_source_refs": f"WITH {RECORDS_SQL} SELECT session_id, 'seg-' || session_id || '-' || turn AS segment_id, seq, (role = 'user' AND coalesce(source_kind, 'user') = 'user') OR role = 'tool' AS canonical FROM inside",
+    "segment_source_text": f"""WITH {RECORDS_SQL}, own AS (SELECT session_id, seq, min(turn) AS turn FROM (SELECT session_id, seq, turn, row_number() OVER (PARTITION BY session_id, seq ORDER BY ingested_at NULLS LAST) AS n FROM session_events
+    WHERE event_type IN ('user/message', 'assistant/message', 'tool/result')) WHERE n = 1 GROUP BY ALL)
+SELECT session_id, turn, string_agg('[seq ' || seq || '] ' || CASE WHEN role = 'tool' THEN 'tool:' || coalesce(tool_name, 'result') ELSE role END || ': ' || text, chr(10) ORDER BY seq) AS source_text
+FROM rec JOIN own USING (session_id, seq) WHERE NOT {PROJECTION_SQL} GROUP BY ALL""",
+    "eviction_order": f"""WITH {COSTS_SQL}, aged AS (SELECT *, max(turn) OVER (PARTITION BY session_id) - turn AS inactive, sum(tokens) OVER (PARTITION BY session_id) AS total FROM costs),
+placed AS (SELECT *, row_number() OVER w AS rank, total - coalesce(sum(greatest(0, tokens - 20)) OVER (PARTITION BY session_id ORDER BY inactive >= 4 DESC, inactive DESC, tokens DESC, first_seq, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM aged WINDOW w AS (PARTITION BY session_id ORDER BY inactive >= 4 DESC, inactive DESC, tokens DESC, first_seq, turn))
+SELECT session_id, turn, tokens, rank, total / 600 >= 0.65 AND before > 330 AS evicted FROM placed""",
+    "budget_break": f"""WITH {COSTS_SQL}, summed AS (SELECT *, sum(tokens) OVER w > 300 AND row_number() OVER w > 1 AS stops FROM costs WINDOW w AS (PARTITION BY session_id ORDER BY first_seq, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT session_id, turn, NOT bool_or(stops) OVER (PARTITION BY session_id ORDER BY first_seq, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS accepted FROM summed""",
+    "budget_skip": f"""WITH RECURSIVE {COSTS_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_seq, turn) AS n FROM costs),
+walk AS (SELECT session_id, turn, n, CASE WHEN tokens + 24 <= 300 THEN tokens + 24 ELSE 0 END AS used, tokens + 24 <= 300 AS accepted FROM placed WHERE n = 1
+  UNION ALL SELECT p.session_id, p.turn, p.n, CASE WHEN w.used + p.tokens + 24 <= 300 THEN w.used + p.tokens + 24 ELSE w.used END, w.used + p.tokens + 24 <= 300 FROM walk w JOIN placed p ON p.session_id = w.session_id AND p.n = w.n + 1)
+SELECT session_id, turn, accepted FROM walk""",
+    "pressure_budget": f"WITH {COSTS_SQL} SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) / 1000, 6) AS pressure, sum(tokens) / 1000 >= 0.65 AS triggered, CAST(550 AS BIGINT) AS target FROM costs GROUP BY session_id",
+    "remember_requests": f"""WITH {RECORDS_SQL}, said AS (SELECT session_id, seq, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM rec WHERE role = 'user'),
+got AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(b, '{text.REMEMBER.replace("(?isU)", "(?is)")}', 1), '^\\s+|\\s+$', '', 'g'), '(?i)^(?:(?:全局|跨工作区|所有项目|所有工作区|global|cross[- ]workspace)\\s*)+[：:,，]\\s*', '') AS c FROM said),
+judged AS (SELECT *, regexp_matches(b, '{text.REMEMBER.replace("(?isU)", "(?is)")}') AND NOT regexp_matches(b, '{text.NEGATED}') AND NOT regexp_matches(b, '{text.QUOTED}') AND length(c) >= 2 AS valid FROM got)
+SELECT session_id, seq, CASE WHEN valid THEN c END AS content, CASE WHEN valid THEN CASE WHEN regexp_matches(b, '{text.EVERYWHERE}') THEN 'user-global' ELSE 'workspace' END END AS scope_kind, regexp_matches(text, '{text.REVIEW}') AS review FROM judged""",
     "surface_visible": f"WITH {REPLACED_SQL} SELECT DISTINCT session_id, seq FROM session_events e WHERE NOT EXISTS (SELECT 1 FROM replaced r WHERE r.session_id = e.session_id AND e.seq BETWEEN r.start_seq AND r.end_seq AND e.seq < r.r)",
     "compaction_overlap": f"""WITH {REPLACED_SQL}, {RECORDS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_seq, r) AS range_no FROM replaced)
 SELECT seg.session_id, segment_id, min(range_no) AS range_no FROM seg JOIN numbered n ON n.session_id = seg.session_id AND first_seq <= n.end_seq + 2 AND last_seq >= n.start_seq GROUP BY ALL""",

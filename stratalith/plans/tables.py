@@ -97,3 +97,11 @@ def sql_slice(core: str) -> str:
 
 
 SQL_SCORE = "CASE WHEN phrase THEN 1.0 WHEN coverage >= 0.75 THEN 0.85 WHEN n_strong >= 2 THEN 0.80 WHEN coverage >= 0.5 THEN 0.70 WHEN coverage >= 0.25 THEN 0.35 ELSE 0.0 END"
+
+#: Messages as flat records with their text, the first ingested of each number.
+SQL_RECORDS = """rec AS (
+  SELECT session_id, seq, CASE event_type WHEN 'user/message' THEN 'user' WHEN 'assistant/message' THEN 'assistant' ELSE 'tool' END AS role,
+    source.kind AS source_kind, source.purpose AS purpose, tool_name, coalesce(CASE WHEN ltrim(content) LIKE '[%' AND json_valid(content) THEN
+      array_to_string(list_filter(list_transform(CAST(content AS JSON[]), lambda b: coalesce(b->>'$.text', b->>'$.content')), lambda x: x IS NOT NULL), chr(10)) ELSE content END, '') AS text
+  FROM session_events WHERE event_type IN ('user/message', 'assistant/message', 'tool/result') AND session_id IS NOT NULL AND seq IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY ingested_at NULLS LAST) = 1)"""
