@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.functions import text
+from stratalith.operators import surface
 
 PARENT_LINE = r"^\s*##\s+\[\[([^\]]+)\]\]\s+\[parent\]\s+\[([^\]]+)\]\s+\[seq\s+([^\]]+)\]"
 ENTRY_LINE = r"^\s*-\s+(\[cache\]\s+)?\[\[([^\]]+)\]\]\s+(?:\[seq\s+([^\]]+)\]|\[([^\]]+)\])\s*(.*)$"
 
 
-def catalog(selected: DataFrame) -> DataFrame:
-    """``query_id, catalog``: whole parents in order of ``pick``, each under a heading with id, layer and sequence range."""
+def catalog(selected: DataFrame, budget: int | None = None) -> DataFrame:
+    """``query_id, catalog``: whole parents in order of ``pick``, each under a heading with id, layer and sequence range.
+
+    With a ``budget`` of tokens only parents that still fit; none is cut.
+    """
+    if budget is not None:
+        selected = surface.skipping(selected, ["query_id"], ["pick"], text.estimate_tokens(F.col("view")) + 24, F.lit(budget)).filter("accepted").drop("accepted")
     span = F.concat(F.coalesce(F.col("first_seq").cast("string"), F.lit("?")), F.lit("-"), F.coalesce(F.col("last_seq").cast("string"), F.lit("?")))
     block = F.concat(F.lit("## [[chunk:"), "parent_id", F.lit("]] [parent] ["), "layer", F.lit("] [seq "), span, F.lit("]\n"), "view")
     rows = selected.withColumn("block", block).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pick", "block"))).alias("b"))
@@ -55,66 +63,84 @@ def pointer(key: Column, refs: Column) -> Column:
     return F.concat(F.lit("[[chunk:"), key, F.lit("]] moved to the session's snapshot. [sourceRefs: "), F.array_join(F.transform(refs, lambda r: r.cast("string")), ", "), F.lit("]"))
 
 
+#: Whose lines a snapshot takes first (fixed order): speaker, and the fact that must hold.
+PRECEDENCE = (("user", None), ("assistant", "text"), ("tool", "trusted"), ("tool", None))
+
+
 def record_priority(role: Column, kinds: Column, trusted: Column) -> Column:
-    return F.when(role == "user", 0).when((role == "assistant") & F.array_contains(kinds, "text"), 1).when((role == "tool") & trusted, 2).when(role == "tool", 3).otherwise(4)
+    facts = {None: F.lit(True), "text": F.array_contains(kinds, "text"), "trusted": trusted}
+    ranks = [F.when((role == who) & facts[fact], F.lit(i)) for i, (who, fact) in enumerate(PRECEDENCE)]
+    return F.coalesce(*ranks, F.lit(len(PRECEDENCE)))
 
 
-def structured(lines: list[tuple[int, str, str]], budget: int) -> tuple[str, int]:
-    """Lines ``[seq n] label: text`` of records (seq, label, text) within a token budget, and the characters left out.
+NON_ASCII = re.compile(r"[^\x00-\x7f]")
 
-    The first record is shortened to its head and tail if it alone is over the budget; later ones that don't fit are left out.
-    """
-    kept, omitted = [], 0
-    for seq, label, body in lines:
-        line = f"[seq {seq}] {label}: {body}"
-        if tokens("\n".join([*kept, line])) <= budget:
-            kept.append(line)
-        elif kept:
-            omitted += len(body)
-        else:
-            room = max(24, budget * 3)
-            head, tail = body[: int(room * 0.65)], body[-int(room * 0.25) :]
-            omitted += max(0, len(body) - len(head) - len(tail))
-            kept.append(f"[seq {seq}] {label}: {head}" + (f"\n… omitted {omitted} chars …\n{tail}" if omitted else ""))
-    return "\n".join(kept), omitted
+
+def grown(state: tuple[int, int], part: str) -> tuple[int, int]:
+    """Token estimate of a text that grows: tokens of what is closed, and the length of the ASCII run at its end."""
+    closed, run = state
+    at = 0
+    for wide in NON_ASCII.finditer(part):
+        closed, run, at = closed + (run + wide.start() - at + 3) // 4 + 1, 0, wide.end()
+    return closed, run + len(part) - at
 
 
 def tokens(s: str) -> int:
     """Python form of the token estimate, for functions that already run in Python."""
-    total = run = 0
-    for ch in s:
-        if ord(ch) < 128:
-            run += 1
-        else:
-            total += (run + 3) // 4 + 1
-            run = 0
-    return total + (run + 3) // 4
+    closed, run = grown((0, 0), s)
+    return closed + (run + 3) // 4
+
+
+def fitting_lines(lines: DataFrame) -> DataFrame:
+    """The lines of each record that its budget has room for, of ``session_id, record_id, priority, seq, line, budget``.
+
+    Lines are read in order of priority and number, as one stream per record; one that doesn't fit is passed over, but a
+    record's first line always stays (it is shortened beforehand). Kept lines count as joined by line ends.
+    """
+    keys = ["session_id", "record_id"]
+    rows = lines.repartition(*keys).sortWithinPartitions(*keys, "priority", "seq", "line")
+
+    def run(batches):
+        record, state = None, None
+        for batch in batches:
+            keep = []
+            for *key, line, budget in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5))):
+                if key != record:
+                    record, state = key, None
+                after = grown(state or (0, 0), line if state is None else "\n" + line)
+                fits = state is None or after[0] + (after[1] + 3) // 4 <= budget
+                state = after if fits else state
+                keep.append(fits)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, lines.schema)
 
 
 def snapshot(records: DataFrame, budget: int) -> DataFrame:
     """``session_id, snapshot``: each record's lines within an equal part of the budget (at least 32 tokens).
 
-    ``records`` has ``session_id, record_id, activated_at, rows`` (array of struct ``priority, seq, label, text``).
+    ``records`` has ``session_id, record_id, activated_at, rows`` (array of struct ``priority, seq, label, text``). A first
+    line over its record's part is cut to the head and tail of its text. Records go in order of activation for as long as
+    the budget lasts; the first one always does.
     """
-    rows = records.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("activated_at", "record_id", "rows"))).alias("r"))
-
-    def render(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.r:
-                each = max(32, budget // max(1, len(r)))
-                used, parts = 0, []
-                for record in r:
-                    body, _ = structured([(x["seq"], x["label"], x["text"] or "") for x in sorted(record["rows"], key=lambda x: (x["priority"], x["seq"]))], each)
-                    part = f"## {record['record_id']}\n{body}"
-                    used += tokens(part)
-                    if parts and used > budget:
-                        break
-                    parts.append(part)
-                out.append("\n\n".join(parts))
-            yield pdf.assign(snapshot=out)[["session_id", "snapshot"]]
-
-    return rows.mapInPandas(render, "session_id string, snapshot string")
+    shares = records.groupBy("session_id").agg(F.greatest(F.lit(32), F.floor(F.lit(budget) / F.count("*"))).alias("budget"))
+    rows = records.join(shares, "session_id").select("session_id", "record_id", "budget", F.posexplode(F.array_sort("rows")).alias("place", "r"))
+    head = F.concat(F.lit("[seq "), F.col("r.seq").cast("string"), F.lit("] "), F.col("r.label"), F.lit(": "))
+    body, room = text.nonblank(F.col("r.text")), F.greatest(F.lit(24), F.col("budget") * 3)
+    front, back = F.floor(room * 0.65).cast("int"), F.floor(room * 0.25).cast("int")
+    n = F.length(body)
+    gap = n - F.least(n, front) - F.least(n, back)
+    note = F.when(gap > 0, F.concat(F.lit("\n… omitted "), gap.cast("string"), F.lit(" chars …\n"), F.substring(body, n - F.least(n, back) + 1, back))).otherwise("")
+    whole = F.concat(head, body)
+    line = F.when((F.col("place") == 0) & (text.estimate_tokens(whole) > F.col("budget")), F.concat(head, F.substring(body, F.lit(1), front), note)).otherwise(whole)
+    kept = fitting_lines(rows.select("session_id", "record_id", "r.priority", "r.seq", line.alias("line"), F.col("budget").cast("bigint").alias("budget")))
+    parts = kept.groupBy("session_id", "record_id").agg(F.array_sort(F.collect_list(F.struct("priority", "seq", "line"))).alias("l"))
+    part = F.concat(F.lit("## "), F.col("record_id"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    parts = parts.select("session_id", "record_id", part.alias("part")).join(records.select("session_id", "record_id", "activated_at"), ["session_id", "record_id"])
+    order = [F.col("activated_at"), F.col("record_id")]
+    taken = surface.stopping(parts, ["session_id"], order, text.estimate_tokens(F.col("part")), F.lit(budget)).filter("accepted")
+    joined = taken.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("activated_at", "record_id", "part"))).alias("p"))
+    return joined.select("session_id", F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("snapshot"))
 
 
 def write_document(df: DataFrame, root: str, path: str, form: str = "json") -> str:

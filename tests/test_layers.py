@@ -61,7 +61,23 @@ def test_catalog_round_trip(spark):
     picks = spark.createDataFrame([(1, 0, "a", "sensory", 3, 4, "text a"), (1, 1, "b", "bank", None, None, "text b")], "query_id int, pick int, parent_id string, layer string, first_seq int, last_seq int, view string")
     entries = render.parse_catalog(render.catalog(picks))
     assert rows(entries, "name", "layer", "seq") == [("chunk:a", "sensory", "3-4"), ("chunk:b", "bank", "?-?")]
-    assert render.structured([(1, "user", "x" * 4000)], 20)[1] > 3000
+    assert [e["name"] for e in render.parse_catalog(render.catalog(picks, budget=30)).collect()] == ["chunk:a"]
+
+
+def test_snapshot_fits_its_budget(spark):
+    row = "array<struct<priority int, seq bigint, label string, text string>>"
+    data = [("s", "a", 1, [(1, 5, "user", "y" * 30), (0, 1, "user", "x" * 4000), (2, 7, "tool", "t" * 60)]), ("s", "b", 2, [(0, 2, "user", "字" * 10), (0, 3, "user", "z" * 900), (1, 4, "tool", "short")]), ("t", "c", 1, [(0, 1, "user", "x" * 9000)])]
+    got = {r["session_id"]: r["snapshot"] for r in render.snapshot(spark.createDataFrame(data, f"session_id string, record_id string, activated_at int, rows {row}"), 100).collect()}
+    a, b = got["s"].split("\n\n")
+    room = 50 * 3
+    assert a == f"## a\n[seq 1] user: {'x' * int(room * 0.65)}\n… omitted {4000 - int(room * 0.65) - int(room * 0.25)} chars …\n{'x' * int(room * 0.25)}"
+    assert b == "## b\n[seq 2] user: 字字字字字字字字字字\n[seq 4] tool: short"
+    assert got["t"].startswith("## c\n[seq 1] user: xxx") and len(got["t"]) < 320
+    parts = ["ab", "字c", "", "défg", "hi" * 9]
+    state = (0, 0)
+    for p in parts:
+        state = render.grown(state, p)
+    assert state[0] + (state[1] + 3) // 4 == render.tokens("".join(parts))
 
 
 def test_forget_cascade(spark):
@@ -72,6 +88,15 @@ def test_forget_cascade(spark):
     assert [rows(gone[k], "id") for k in ("bank", "semi", "sensory")] == [[("b1",)], [("m1",)], [("c1",)]]
 
 
+def test_marked_documents():
+    text = "# A | x\n\none\ntwo | 2\n| h | i |\n|---|---|\n| 1 | 2 |\n# B | c\n```\ncode\n```py\n```\n\n| q | r |\n|---|---|\n\n```sql\nopen"
+    got = [(b.form, text[b.start : b.end], b.headings, b.rows) for b in chunker.markdown_blocks(text, 0, len(text))]
+    assert got == [
+        ("markdown", "one\ntwo | 2", ("A | x",), 0), ("markdown-table", "| 1 | 2 |", ("A | x",), 1), ("markdown-table", "# B | c", ("A | x",), 1),
+        ("code", "code\n```py", ("A | x",), 0), ("markdown-table", "", ("A | x",), 0), ("code", "open", ("A | x",), 0),
+    ]
+
+
 def test_chunker(spark):
     parts = chunker.chunk("# A\n\nintro\n\n## B\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n\n```python\ndef f():\n  pass\nclass G: pass\n```\n", "k")
     assert [(p["format"], p["heading_path"]) for p in parts] == [("markdown", ["A"]), ("markdown-table", ["A", "B"]), ("code", ["A", "B"]), ("code", ["A", "B"])]
