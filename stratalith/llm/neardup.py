@@ -1,7 +1,7 @@
 """Pairs of texts whose sets of word runs are similar, by signature trees.
 
 1. Texts with the same set of runs are one *class*; only one set per class goes on.
-2. Runs are ordered from rare to frequent (counts over all classes). Two sets can reach the threshold only if their
+2. Runs are ordered from rare to frequent (counts over all classes; those in fewer than ``HEAVY`` classes go first). Two sets can reach the threshold only if their
    prefixes in that order share a number of runs (``shared_least``), so each prefix run is the root of a tree over the
    classes that have it. This is the top level of the search: roots without a common run have no possible overlap.
 3. Within a root, classes are leaves of a tree whose nodes hold the OR of their members' bitmaps, the range of their
@@ -28,7 +28,8 @@ from stratalith import storage
 from stratalith.llm.hashing import WordValues, rolling
 
 BITS, FANOUT, LEAVES, BLOCK, CHUNK = 512, 8, 32, 512, 100_000
-FREQUENT, LEAST = 200_000, 0.03
+#: Runs of fewer classes count as equally rare; their roots are small. As many frequent ones at most are sent to all tasks.
+HEAVY, LISTED, LEAST = 32, 200_000, 0.03
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -85,7 +86,7 @@ def shared_least(size):
 
 
 def _roots(threshold: float, often: np.ndarray, counts: np.ndarray):
-    """The runs in the prefix of each class. ``often`` is sorted; runs that it lacks are rarer and go first."""
+    """The runs in the prefix of each class. ``often`` is sorted; runs that it lacks are rare and go first."""
 
     def run(batches):
         for batch in batches:
@@ -106,6 +107,15 @@ def _roots(threshold: float, often: np.ndarray, counts: np.ndarray):
     return run
 
 
+def joined_roots(classes: DataFrame, heavy: DataFrame, threshold: float) -> DataFrame:
+    """The same prefixes where the frequent runs are too many to be sent to all tasks: counts come by a join on the run."""
+    size = F.col("size")
+    rows = classes.select("class", F.size("runs").alias("size"), F.explode("runs").alias("run")).join(heavy, "run", "left")
+    rows = rows.groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "run"))).alias("runs"))
+    prefix = size - F.ceil(size * threshold - 1e-9).cast("int") + 1 + F.floor(size / 20).cast("int")
+    return rows.select(F.explode(F.transform(F.slice("runs", F.lit(1), prefix), lambda r: r["run"])).alias("root"), "class")
+
+
 def possible(size_a, most_a, size_b, most_b, common, surplus, threshold):
     """Whether two nodes can hold a pair of the threshold: smallest and largest sizes, common bits, least surplus."""
     need = threshold / (1 + threshold) * (size_a + size_b) - 1e-9
@@ -208,20 +218,16 @@ def similar_classes(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> tup
     sets = storage.materialize(rows.mapInArrow(_sets(n), SETS), "sets")
     members = sets.select("member", "owner", "class").distinct()
     classes = storage.materialize(sets.select("class", "runs").dropDuplicates(["class"]), "classes")
-    counts = storage.materialize(classes.select(F.explode("runs").alias("run")).groupBy("run").count().filter("count > 1"), "runs")
-    # Frequent runs, fewer than FREQUENT: a power of two is found below which counts don't matter for the order.
-    sizes = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()
-    total, least = 0, 64
-    for power, many in sorted(sizes, reverse=True):
-        total += many
-        if total > FREQUENT:
-            break
-        least = power
-    listed = counts.filter(F.col("count") >= (2**least if least < 63 else 2**62)).toArrow()
-    often, often_counts = (listed.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-    order = np.argsort(often)
-    often, often_counts = often[order], often_counts[order]
-    roots = storage.materialize(classes.mapInArrow(_roots(threshold, often, often_counts), ROOT), "roots")
+    heavy = classes.select(F.explode("runs").alias("run")).groupBy("run").count().filter(F.col("count") >= HEAVY)
+    heavy = storage.materialize(heavy, "heavy")
+    if heavy.count() <= LISTED:
+        listed = heavy.toArrow()
+        often, counts = (listed.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+        order = np.argsort(often)
+        roots = classes.mapInArrow(_roots(threshold, often[order], counts[order]), ROOT)
+    else:
+        roots = joined_roots(classes, heavy, threshold)
+    roots = storage.materialize(roots, "roots", heavy)
     leaves = classes.mapInArrow(_leaves, LEAF)
     size = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
@@ -231,7 +237,7 @@ def similar_classes(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> tup
     placed = placed.join(leaves, "class").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "least", "size")
     pairs = placed.select("root", "low", "high", "block", "class", "size", "bits").mapInArrow(_trees(threshold), "a bigint, b bigint, need bigint, n bigint")
     pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
-    pairs = storage.materialize(pairs, "pairs")
+    pairs = storage.materialize(pairs, "pairs", roots)
     both = pairs.join(classes.select(F.col("class").alias("a"), F.col("runs").alias("ra")), "a").join(classes.select(F.col("class").alias("b"), F.col("runs").alias("rb")), "b")
     shared = F.size(F.array_intersect("ra", "rb"))
     both = both.select("a", "b", (shared / (F.size("ra") + F.size("rb") - shared)).alias("similarity"))
@@ -267,7 +273,7 @@ def components(links: DataFrame) -> DataFrame:
     pairs = storage.materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     while True:
-        pairs = storage.materialize(star(star(pairs, True), False), "edges")
+        pairs = storage.materialize(star(star(pairs, True), False), "edges", pairs)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if state == seen:
             break

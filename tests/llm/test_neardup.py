@@ -80,3 +80,11 @@ def test_thresholds_that_could_lose_links_are_refused(spark):
             neardup.similar_classes(spark.createDataFrame([], SHAPE), threshold=bad)
     for size in range(1, 5000):  # what is asked of two prefixes is never more than what similar sets share
         assert neardup.shared_least(size) <= -(-2 * neardup.LEAST * size // (1 + neardup.LEAST))
+
+
+def test_both_ways_to_order_runs_agree(spark, monkeypatch):
+    data = spark.createDataFrame(corpus(7, 12), SHAPE)
+    monkeypatch.setattr(neardup, "HEAVY", 2)
+    want = rows(neardup.similar_classes(data, 0.6, 3)[1])
+    monkeypatch.setattr(neardup, "LISTED", 0)
+    assert want and rows(neardup.similar_classes(data, 0.6, 3)[1]) == want
