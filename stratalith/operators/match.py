@@ -227,13 +227,16 @@ def union_top(hits: DataFrame, config: Config = Config()) -> DataFrame:
     return hits.join(top.select(*keys, "priority", "place"), keys)
 
 
-def aggregated(hits: DataFrame, parents: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row per query and parent, ranked by nine keys; the first few are kept before qualification."""
+def coverage(hits: DataFrame) -> DataFrame:
+    """Of each parent and sub-query the hit that covers it best, as struct ``c``."""
     best = F.max_by(F.struct("sub", "tier", "strength", "score", "reason"), F.struct("strength", "score", F.negative("rank")))
-    by_sub = hits.filter("covers").groupBy("query_id", "scope", "parent_id", "sub").agg(best.alias("c"))
-    by_sub = by_sub.groupBy("query_id", "scope", "parent_id").agg(F.array_sort(F.collect_list("c")).alias("cover"))
+    return hits.filter("covers").groupBy("query_id", "scope", "parent_id", "sub").agg(best.alias("c"))
+
+
+def measured(hits: DataFrame) -> DataFrame:
+    """One row per query and parent with the measures of its hits."""
     two = F.slice(F.sort_array(F.collect_list("dense"), asc=False), 1, 2)
-    rows = hits.groupBy("query_id", "scope", "parent_id").agg(
+    return hits.groupBy("query_id", "scope", "parent_id").agg(
         F.max("dense").alias("best_dense"),
         F.aggregate(two, F.lit(0.0), lambda a, x: a + x).alias("top_sum"),
         F.least(F.count("*"), F.lit(2)).alias("top_n"),
@@ -242,6 +245,12 @@ def aggregated(hits: DataFrame, parents: DataFrame, config: Config = Config()) -
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"),
         F.array_sort(F.collect_set("reason")).alias("reasons"),
     )
+
+
+def aggregated(hits: DataFrame, parents: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row per query and parent, ranked by nine keys; the first few are kept before qualification."""
+    by_sub = coverage(hits).groupBy("query_id", "scope", "parent_id").agg(F.array_sort(F.collect_list("c")).alias("cover"))
+    rows = measured(hits)
     rows = rows.join(by_sub, ["query_id", "scope", "parent_id"], "left").join(parents, ["scope", "parent_id"])
     cover = F.filter(F.coalesce("cover", F.array()), lambda c: c["sub"] > 0)
     rows = rows.withColumn("cover", cover).withColumn("top_avg", F.col("top_sum") / F.col("top_n")).drop("top_sum", "top_n")

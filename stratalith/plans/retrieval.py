@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratalith import storage
 from stratalith.functions import text, vector
 from stratalith.operators import chunker, match, render, segment
 from stratalith.plans import tables as t
@@ -25,6 +26,19 @@ def feature_hash_slots(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("parent_no", F.col("h.slot").cast("bigint").alias("slot")).agg(F.sum("h.sign").cast("bigint").alias("weight"))
 
 
+def feature_hash_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The title's vector of each parent against that of the next one."""
+    rows = t.parents(spark, d).filter("document_title is not null").select("parent_no", vector.feature_hash(F.col("document_title")).alias("v"))
+    span = F.lit(1024)  # numbers of one range; the next parent of a range's last is the first of the next range that has one
+    rows = storage.materialize(rows.withColumn("range", F.floor(F.col("parent_no") / span)), "vectors")
+    firsts = rows.groupBy("range").agg(F.min("parent_no").alias("first"))
+    after = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("beyond"))  # one small row per range
+    within = F.lead("parent_no").over(Window.partitionBy("range").orderBy("parent_no"))
+    pairs = rows.withColumn("within", within).join(after, "range").select("parent_no", "v", F.coalesce("within", "beyond").alias("next_no")).filter("next_no is not null")
+    pairs = pairs.join(rows.select(F.col("parent_no").alias("next_no"), F.col("v").alias("w")), "next_no")
+    return pairs.select("parent_no", "next_no", F.round(vector.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
+
+
 def child_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Each child against the next one of its parent."""
     rows = t.children(spark, d)
@@ -97,6 +111,18 @@ def parent_rank_top16(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "parent_id", F.col("parent_rank").cast("bigint").alias("rank"), F.round("best_dense", 6).alias("best_dense"), F.round("top_avg", 6).alias("top_avg"), F.col("anchors").cast("bigint").alias("anchors"), "qualified")
 
 
+def coverage_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """How each parent covers a query best, among the hits that cover it."""
+    rows = match.coverage(_stages(spark, d, False).hits)
+    return rows.select("query_id", "parent_id", "sub", "c.tier", F.round("c.strength", 6).alias("strength"), F.round("c.score", 6).alias("score"), "c.reason")
+
+
+def parent_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of every parent that has a hit, before any limit."""
+    rows = match.measured(_stages(spark, d, False).hits)
+    return rows.select("query_id", "parent_id", F.round("best_dense", 6).alias("best_dense"), F.round(F.col("top_sum") / F.col("top_n"), 6).alias("top_avg"), F.col("lexical").cast("double").alias("lexical"), F.col("anchors").cast("bigint").alias("anchors"), F.size("tokens").cast("bigint").alias("n_tokens"), "reasons")
+
+
 STAGES_SQL = f"""
 WITH p AS ({t.SQL_PARENTS}), ch AS ({t.SQL_CHILDREN}),
 c AS (SELECT scope, parent_id, child_id, child_no, text, vector, vector_model, eligible, updated_at, {t.sql_norm("text")} AS cn, {t.sql_tokens("text")} AS ct FROM (
@@ -119,8 +145,8 @@ per_parent AS (SELECT * FROM ranked r WHERE anchor AND NOT EXISTS (SELECT 1 FROM
   QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY phrase DESC, coverage DESC, n_strong DESC, dense DESC, rank) = 1),
 guaranteed AS (SELECT * REPLACE (greatest(0.50, coverage) AS strength), coverage >= 0.20 OR n_strong >= 2 AS covers FROM per_parent
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY phrase DESC, coverage DESC, n_strong DESC, dense DESC, rank) <= 4),
-everything AS (SELECT query_id, parent_id, child_id, rank, score, strength, coverage, dense, lexical, anchor, eligible, updated_at, strong OR rank = 0 AS covers FROM admitted
-  UNION ALL SELECT query_id, parent_id, child_id, rank, score, strength, coverage, dense, lexical, anchor, eligible, updated_at, covers FROM guaranteed),
+everything AS (SELECT query_id, parent_id, child_id, rank, score, strength, coverage, dense, lexical, anchor, eligible, updated_at, matched, tier, reason, strong OR rank = 0 AS covers FROM admitted
+  UNION ALL SELECT query_id, parent_id, child_id, rank, score, strength, coverage, dense, lexical, anchor, eligible, updated_at, matched, 'strong', 'lexical-guarantee', covers FROM guaranteed),
 hits AS (SELECT *, score + 0.15 * strength + 0.20 * coverage AS priority FROM everything
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, rank, parent_id, child_id) <= 32),
 parents AS (SELECT query_id, parent_id, max(dense) AS best_dense, list_sum(list_sort(list(dense), 'DESC')[1:2]) / least(count(*), 2) AS top_avg, max(lexical) AS lexical, count(*) FILTER (anchor) AS anchors, any_value(eligible) AS qualified, any_value(updated_at) AS updated_at
@@ -186,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, informative_tokens, feature_hash_slots, child_cosine, query_decompose, lexical_score, lexical_recall_topk, dense_topk, hybrid_admission, lexical_guarantee,
-        child_union_top32, parent_rank_top16, retrieve, coverage_select, bank_fallback, catalog_entries, evidence_gate, source_validation, chunk_parents, chunk_children,
+        child_union_top32, parent_rank_top16, coverage_argmax, parent_aggregate, feature_hash_cosine, retrieve, coverage_select, bank_fallback, catalog_entries, evidence_gate, source_validation, chunk_parents, chunk_children,
     )
 }
 
@@ -211,6 +237,17 @@ QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {t.sql_cosine("q.embed
     "lexical_guarantee": STAGES_SQL + "SELECT query_id, parent_id, child_id, round(coverage, 6) AS coverage, round(strength, 6) AS strength, covers FROM guaranteed",
     "child_union_top32": STAGES_SQL + "SELECT query_id, parent_id, child_id, round(priority, 6) AS priority FROM hits",
     "parent_rank_top16": STAGES_SQL + "SELECT query_id, parent_id, rank, round(best_dense, 6) AS best_dense, round(top_avg, 6) AS top_avg, anchors, qualified FROM placed WHERE rank <= 16",
+    "coverage_argmax": STAGES_SQL + """SELECT query_id, parent_id, 0 AS sub, tier, round(strength, 6) AS strength, round(score, 6) AS score, reason FROM hits WHERE covers
+  QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY strength DESC, score DESC, rank) = 1""",
+    "parent_aggregate": STAGES_SQL + """SELECT query_id, parent_id, round(max(dense), 6) AS best_dense, round(list_sum(list_sort(list(dense), 'DESC')[1:2]) / least(count(*), 2), 6) AS top_avg, CAST(max(lexical) AS DOUBLE) AS lexical, count(*) FILTER (anchor) AS anchors,
+  len(list_distinct(flatten(list(matched)))) AS n_tokens, list_sort(list_distinct(list(reason))) AS reasons FROM hits GROUP BY query_id, parent_id""",
+    "feature_hash_cosine": f"""WITH w AS (SELECT parent_no, h % 64 AS slot, sum(CASE WHEN h & 2147483648 = 0 THEN 1 ELSE -1 END) AS weight FROM (SELECT parent_no, {FNV} AS h FROM (
+    SELECT parent_no, unnest(list_concat(regexp_extract_all(lower(document_title), '[a-z][\\w-]*|\\d+(?:\\.\\d+)?'), flatten(list_transform(regexp_extract_all(document_title, {t.RUNS}), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END)))) AS tok
+    FROM ({t.SQL_PARENTS}) WHERE document_title IS NOT NULL)) GROUP BY ALL),
+u AS (SELECT parent_no, slot, floor(weight / sqrt(sum(weight * weight) OVER (PARTITION BY parent_no)) * 1e6 + 0.5) / 1e6 AS v FROM w),
+sizes AS (SELECT parent_no, sqrt(sum(v * v)) AS size FROM u GROUP BY parent_no), n AS (SELECT parent_no, lead(parent_no) OVER (ORDER BY parent_no) AS next_no FROM ({t.SQL_PARENTS}) WHERE document_title IS NOT NULL),
+dots AS (SELECT n.parent_no, next_no, sum(a.v * b.v) AS dot FROM n JOIN u a ON a.parent_no = n.parent_no JOIN u b ON b.parent_no = next_no AND b.slot = a.slot GROUP BY ALL)
+SELECT n.parent_no, n.next_no, round(coalesce(dot / (a.size * b.size), 0.0), 6) AS cosine FROM n LEFT JOIN dots USING (parent_no, next_no) LEFT JOIN sizes a ON a.parent_no = n.parent_no LEFT JOIN sizes b ON b.parent_no = n.next_no WHERE n.next_no IS NOT NULL""",
     "source_validation": f"""WITH {t.SQL_RECORDS}, p AS ({t.SQL_PARENTS}), cores AS (SELECT parent_id, session_id, {t.sql_norm("core_text")} AS core FROM p), sources AS (SELECT session_id, {t.sql_norm("text")} AS source FROM rec),
 pairs AS (SELECT parent_id, length(source) > 0 AND (contains(core, substring(source, 1, 80)) OR contains(source, substring(core, 1, 80))) AS hit FROM cores JOIN sources USING (session_id))
 SELECT parent_id, count(*) AS n_refs, count(*) AS n_found, CASE WHEN count(*) FILTER (hit) = 0 THEN 'source-chunk-mismatch' ELSE 'valid' END AS reason FROM pairs GROUP BY parent_id""",

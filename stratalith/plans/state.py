@@ -261,9 +261,11 @@ def distinct_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bank_visible(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.parents(spark, d)
-    bank = rows.select(F.lit("workspace").alias("scope_kind"), F.col("workspace_id").alias("scope_id"), F.col("parent_id").alias("id"), (F.col("evidence_quality") >= 0.8).alias("verified"), F.col("temporal_current").alias("current"), F.lit(None).cast("timestamp").alias("tombstoned_at"))
-    return layers.bank_visible(bank, "ws-hub").select("id")
+    """What workspace ``ws-hub`` sees of the bank: its own records and the user's. One without the field counts as verified."""
+    rows = _state(spark, d).filter("collection = 'bankChunks'")
+    got = lambda name: F.get_json_object("value_json", f"$.{name}")
+    bank = rows.select("scope_kind", "scope_id", "id", F.coalesce(got("verifiedSource") == "true", F.lit(True)).alias("verified"), (got("temporalCurrent") == "true").alias("current"), got("supersededBy").alias("superseded_by"), got("tombstonedAt").alias("tombstoned_at"))
+    return layers.bank_visible(bank, "ws-hub").select("scope_kind", "scope_id", "id")
 
 
 def remember_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -296,6 +298,12 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
+def stream_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions without an event for a day, as the stream of events closes them."""
+    rows = _run(turns.idle_sessions(_source(spark, d, "session_events").select("session_id", "event_time")), "idle")
+    return rows.select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The journal as a stream, applied batch by batch to the snapshot's table."""
     where = storage.new_path(spark, "stream-ledger")
@@ -309,7 +317,7 @@ QUERIES = {
     for f in (
         turn_segments, segment_source_refs, segment_tokens, segment_source_text, surface_visible, compaction_overlap, tool_pair_antijoin, call_budget, eviction_order, manifest_groups,
         request_attributes, latest_capture, budget_skip, budget_break, pressure_budget, ledger_replay, ledger_scope_counts, ledger_scan, reference_sync, association_dedupe, activation,
-        layer_decisions, supersede, current_views, layer_counts, count_by, cube_counts, distinct_layers, bank_visible, remember_requests, stream_turns, stream_windows, stream_ledger,
+        layer_decisions, supersede, current_views, layer_counts, count_by, cube_counts, distinct_layers, bank_visible, remember_requests, stream_turns, stream_windows, stream_ttl, stream_ledger,
     )
 }
 
@@ -374,7 +382,11 @@ FROM ({t.SQL_PARENTS}) LEFT JOIN (SELECT parent_id, count(*) AS n, max(vector_st
     "count_by": "SELECT coalesce(court_name, 'unknown') AS value, count(*) AS n FROM documents GROUP BY ALL",
     "cube_counts": "SELECT lang, source, count(*) AS n, grouping_id(lang, source) AS level FROM documents GROUP BY CUBE (lang, source)",
     "distinct_layers": LIVE_SQL + "SELECT collection, scope_id, id, max(mutation_seq) AS mutation_seq FROM ranked WHERE n = 1 AND NOT gone AND collection IN ('sensoryChunks', 'sourceSegments', 'bankChunks', 'semipersistentRecords') GROUP BY ALL",
-    "bank_visible": f"SELECT parent_id AS id FROM ({t.SQL_PARENTS}) WHERE workspace_id = 'ws-hub' AND evidence_quality >= 0.8 AND coalesce(temporal_current, true)",
+    "bank_visible": LIVE_SQL + """SELECT scope_kind, scope_id, id FROM ranked WHERE n = 1 AND NOT gone AND collection = 'bankChunks' AND (scope_kind = 'workspace' AND scope_id = 'ws-hub' OR scope_kind = 'user-global')
+  AND coalesce(value_json->>'$.verifiedSource', 'true') = 'true' AND coalesce(value_json->>'$.temporalCurrent', 'true') = 'true' AND value_json->>'$.supersededBy' IS NULL AND value_json->>'$.tombstonedAt' IS NULL""",
+    "stream_ttl": """WITH e AS (SELECT session_id, event_time AS t, lag(event_time) OVER (PARTITION BY session_id ORDER BY event_time) AS before FROM session_events WHERE event_time IS NOT NULL),
+n AS (SELECT *, count(*) FILTER (before IS NULL OR t >= before + INTERVAL 24 HOUR) OVER (PARTITION BY session_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS stretch FROM e)
+SELECT session_id, min(t) AS start, max(t) + INTERVAL 24 HOUR AS "end", count(*) AS n FROM n GROUP BY session_id, stretch HAVING max(t) + INTERVAL 24 HOUR <= (SELECT max(event_time) - INTERVAL 1 DAY FROM session_events)""",
     "stream_ledger": P1_SQL,
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL",
 }
