@@ -142,9 +142,9 @@ def scored(subs: DataFrame, children: DataFrame, config: Config = Config()) -> D
     among its first by score, its first anchored ones, or the best of its first parents in the order of the guarantee.
     What the later stages take from all rows is among these, and their number doesn't grow with the scope.
     """
-    q = subs.select("query_id", "sub", "scope", text.normalize(F.col("sub_text")).alias("norm"), text.informative_tokens(F.col("sub_text"), config.stopwords).alias("tokens"), F.col("vector").cast("array<double>").alias("vector"), F.col("vector_model").alias("model"))
+    q = subs.select("query_id", "sub", "scope", text.normalize(F.col("sub_text")).alias("norm"), text.informative_tokens(F.col("sub_text"), config.stopwords).alias("tokens"), "vector", F.col("vector_model").alias("model"))
     q = q.withColumn("strong", F.transform("tokens", text.is_strong))
-    c = children.select("scope", "parent_id", "child_id", text.normalize(F.col("text")).alias("norm"), text.lexical_tokens(F.col("text")).alias("tokens"), F.col("vector").cast("array<double>").alias("vector"), F.col("vector_model").alias("model"))
+    c = children.select("scope", "parent_id", "child_id", text.normalize(F.col("text")).alias("norm"), text.lexical_tokens(F.col("text")).alias("tokens"), "vector", F.col("vector_model").alias("model"))
     few, parents = max(2, config.child_top_k), config.child_top_k + config.lexical_guarantee
     kinds = dict(subs.dtypes)
     shape = f"query_id {kinds['query_id']}, sub int, scope {kinds['scope']}, parent_id string, child_id string, tokens array<string>, coverage double, n_strong int, phrase boolean, lexical double, dense double, score double, anchor boolean"
@@ -364,7 +364,8 @@ class Retrieval:
 
     @cached_property
     def rows(self) -> DataFrame:
-        known = self.children.join(self.candidates.select("scope", "parent_id").distinct(), ["scope", "parent_id"], "left_semi")
+        gate = storage.materialize(self.candidates.select("scope", "parent_id").distinct(), "gate")  # its size is known, so a small one is sent rather than shuffled
+        known = self.children.join(gate, ["scope", "parent_id"], "left_semi")
         return storage.materialize(ranked(scored(self.subs, known, self.config), self.candidates, self.config), "rows")
 
     @cached_property
