@@ -103,3 +103,50 @@ def test_admission_limit(spark, limit):
 
     r = retrieval(spark)
     assert match.admitted(r.rows, Config(child_top_k=limit)).groupBy("sub").count().agg(F.max("count")).collect()[0][0] <= limit
+
+
+def shuffled(spark):
+    """Records that all stages so far wrote to a shuffle."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.jvm.java.util.ArrayList
+    stages = store.stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_all_pairs_of_lexical_recall_against_brute_force(spark, monkeypatch):
+    import random
+    import re
+
+    r = random.Random(6)
+    words = ["port", "airport", "gateway", "gate", "way", "the", "is", "a", "x", "42", "3.5", "更新网关", "网关", "a-b", "b", "Ärger", "B."]
+    say = lambda n: r.choice([" ", "  "]).join(r.choices(words, k=n))
+    queries = [(i, r.choice([None, "", "b", *(say(r.randint(1, 4)) for _ in range(9))])) for i in range(30)] + [(90, "port gate way"), (91, "Port  gate way"), (92, "port gate way")]
+    candidates = [(i, r.choice([None, "", *(say(9) for _ in range(9))])) for i in range(120)] + [(None, "an airport gate wayward take"), (200, "airport gate wayward")]
+    clean = lambda x: re.sub(r"\s+", " ", x or "").strip().lower()
+
+    def tokens(x):
+        runs = re.findall("[㐀-鿿]+", clean(x))
+        return {*re.findall(r"[a-z][\w-]*|\d+(?:\.\d+)?", clean(x), re.A), *runs, *(c[i : i + n] for c in runs for n in (2, 3, 4) for i in range(len(c) - n + 1))}
+
+    want = []
+    for q, a in queries:
+        asked = {t for t in tokens(a) if t not in match.text.STOPWORDS and not re.fullmatch("[a-z]", t)}
+        for c, b in candidates:
+            hit = asked & tokens(b)
+            strong = sum(len(t) >= 3 or bool(re.fullmatch(r"[㐀-鿿]{2,}|\d{2,}", t)) for t in hit)
+            phrase, cover = len(clean(a)) >= 3 and clean(a) in clean(b), len(hit) / max(1, len(asked))
+            score = 1.0 if phrase else 0.85 if cover >= 0.75 else 0.8 if strong >= 2 else 0.7 if cover >= 0.5 else 0.35 if cover >= 0.25 else 0.0
+            if hit and score:
+                want.append((q, c, len(hit), strong, cover, phrase, score))
+    monkeypatch.setattr(match, "ROW_BLOCK", 37)
+    got = match.lexical_recall(spark.createDataFrame(queries, "query_id bigint, text string"), spark.createDataFrame(candidates, "candidate_id bigint, text string"))
+    assert {c for _, c, *_, phrase, _ in want if phrase} >= {None, 200} and rows(got) == sorted(want, key=str)
+
+
+def test_all_pairs_of_lexical_recall_are_never_shuffled(spark):
+    q = spark.createDataFrame([(i, "gateway port") for i in range(200)], "query_id bigint, text string")
+    c = spark.createDataFrame([(i, f"gateway {i}") for i in range(300)], "candidate_id bigint, text string")
+    before = shuffled(spark)
+    match.lexical_recall(q, c).write.format("noop").mode("overwrite").save()
+    assert 0 < shuffled(spark) - before < 2000
+    assert match.lexical_recall(q, c).count() == 60000
